@@ -137,8 +137,8 @@ def search_block(rows: pd.DataFrame, queries: pd.DataFrame, coder: Coder, radius
     x, ids = matrix(list(same)), list(same.values())
     index, out = Index(coder.codes(x, False)), []
     many = np.array([len(i) for i in ids])
-    asked = matrix(queries["v"])
-    for i, q, code in zip(queries["id"].tolist(), asked, coder.codes(asked, True), strict=True):
+    asked = matrix(queries["query"])
+    for i, q, code in zip(queries["query_id"].tolist(), asked, coder.codes(asked, True), strict=True):
         r = radius
         while True:
             c = index.within(code, r)
@@ -174,8 +174,8 @@ def nearest(df: DataFrame, chosen: Column, k: int = 20, vector: str = "embedding
     blocks, asks = -(-most["n"] // BLOCK), -(-most["n"] // (20 * QUERIES))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select("id", "v", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("b"), spread(asks).alias("a"))
-    right = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(asks)).cast("int").alias("a"), spread(blocks).alias("b"))
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(lambda rows, queries: search_block(rows, queries, coder, radius, k), RESULT)
+    right = asked.select(F.col("id").alias("query_id"), F.col("v").alias("query"), F.pmod(F.xxhash64("id"), F.lit(asks)).cast("int").alias("qa"), spread(blocks).alias("qb"))
+    found = left.groupBy("a", "b").cogroup(right.groupBy("qa", "qb")).applyInPandas(lambda rows, queries: search_block(rows, queries, coder, radius, k), RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
