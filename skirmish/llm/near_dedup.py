@@ -6,14 +6,16 @@ character of up to ``BONUS``: long ones are rarer, so the lists below stay short
 sketches, estimate the similarity of a pair.
 
 1. Documents of one set are one class, named by the smallest id; all else concerns classes.
-2. Stars: classes that share four consecutive retained values are each paired with the smallest such class.  Pairs
-   estimated far above the threshold join classes into clusters, so large groups of near copies cost one pair per member.
+2. Stars: of the classes that share four consecutive retained values the one with the most company (its values are the
+   most often shared) is paired with each of the others, so a large group of near copies costs a few pairs per member.
+   Confirmed pairs join classes into clusters.
 3. Inverted lists of the first ``LISTED`` retained values: two classes of different clusters that meet in two lists are a
    candidate.  A list over which more than ``HOT`` clusters are spread is skipped for classes that have at least ``COLD``
-   other values: two sets of similarity 0.8 differ in all but one of 12 retained values with a chance below 1e-6.  The
-   classes with fewer go on to lists of pairs, then triples and quadruples of values; the last level skips nothing.
-4. Candidates are filtered by the estimate (with five standard deviations to spare) and confirmed on the full sets.  Should
-   a star be refuted, 3 and 4 are done again with the clusters that confirmed links make.
+   other values: of two sets of similarity 0.8 one in 200,000 would share fewer than two of ten retained values.  Classes
+   with fewer go on to the lists of their other retained values.  Those that even then lack cold values meet in the lists
+   of their first ``COLD`` values with their full sets, where similarities are computed exactly, each class outside the
+   list's largest cluster against all, and one link per class and cluster is reported.
+4. Candidates are filtered by the union's estimate (with five standard deviations to spare) and confirmed on the full sets.
 5. Components of the confirmed links.
 
 Cases: null or empty texts have no shingles and no links; fewer words than a shingle make one shingle of all; a null id
@@ -22,7 +24,6 @@ takes no part (component null); repeated rows are one document if their id is th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,7 @@ K = 64
 LISTED = 24
 BONUS = 24
 HOT = 64
-COLD = 12
-SURE = 0.92
+COLD = 10
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SKETCH = "doc long, n long, s1 long, s2 long, sketch binary"
@@ -86,10 +86,6 @@ def sketches(batches: Iterator[pa.RecordBatch], size: int, k: int = K) -> Iterat
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(n_all), pa.int64()), pa.array(signed(np.concatenate(s1_all))), pa.array(signed(np.concatenate(s2_all))), pa.array(sk_all, pa.binary())], ["doc", "n", "s1", "s2", "sketch"])
 
 
-def _order(value: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return mix(value) >> np.minimum(length, BONUS).astype(U)
-
-
 def estimate(x: bytes, y: bytes) -> float:
     """Share of the union's first values that both sketches hold.  Both are in the same order, so the union's first K are
     found by walking both; the order of a value that only one holds is known from its place between common ones."""
@@ -120,37 +116,79 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(docs, pa.int64())], ["key", "doc"])
 
 
-def _keys(level: int):  # noqa: ANN202
-    """(doc, cluster, sketch) to the values, or hashes of combinations of them, that are listed."""
+def _keys(first: int, end: int):  # noqa: ANN202
+    """(doc, cluster, sketch) to the values of these ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(s, U)[first:end] for s in batch.column("sketch").to_pylist()]
+            if keys:
+                many = [len(v) for v in keys]
+                made = [np.repeat(batch.column(c).to_numpy(), many) for c in ("doc", "cluster")]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), *map(pa.array, made)], ["key", "doc", "cluster"])
+
+    return run
+
+
+def _set_keys(size: int):  # noqa: ANN202
+    """(doc, cluster, text) to the first values of the set, each with the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, clusters = batch.column("doc").to_pylist(), batch.column("cluster").to_pylist()
+            made = next(sketches(iter([pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text")], ["doc", "text"])]), size, 1 << 40), None)
+            if made is None:
+                continue
+            for d, c, s in zip(docs, clusters, made.column("sketch").to_pylist(), strict=True):
+                v = np.frombuffer(s, U)[:COLD]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array([d] * len(v), pa.int64()), pa.array([c] * len(v), pa.int64()), pa.array([s] * len(v), pa.binary())], ["key", "doc", "cluster", "values"])
+
+    return run
+
+
+def _exact_lists(percent: int):  # noqa: ANN202
+    """Rows sorted by (key, cluster, doc), with full sets, to links between clusters."""
+
+    def links(doc: list[int], cluster: list[int], values: list[bytes]) -> Iterator[pa.RecordBatch]:
+        sets = [np.frombuffer(v, U) for v in values]
+        sizes = np.array([len(v) for v in sets])
+        names, of = np.unique(np.concatenate(sets), return_inverse=True)
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        cluster = np.array(cluster)
+        kinds, many = np.unique(cluster, return_counts=True)
+        mark, out = np.zeros(len(names), np.int64), []
+        for i in np.flatnonzero(cluster != kinds[many.argmax()]).tolist():
+            mine = of[edge[i] : edge[i + 1]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[of], edge[:-1])
+            mark[mine] = 0
+            alike = np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (cluster != cluster[i]))
+            for j in alike[np.unique(cluster[alike], return_index=True)[1]].tolist():
+                out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
         for batch in batches:
-            keys, docs, clusters = [], [], []
-            for d, c, s in zip(*(batch.column(x).to_pylist() for x in ("doc", "cluster", "sketch")), strict=True):
-                v = np.frombuffer(s, U)[: LISTED if level == 1 else COLD]
-                if level > 1:
-                    if len(v) < level:
-                        continue
-                    v = np.sort(v)[np.array(list(combinations(range(len(v)), level)))]
-                    k = np.zeros(len(v), U)
-                    for j in range(level):
-                        k = mix(k * U(0x9FB21C651E98DF25) + v[:, j])
-                    v = k
-                keys.append(v)
-                docs.append(np.full(len(v), d))
-                clusters.append(np.full(len(v), c))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(clusters), pa.int64())], ["key", "doc", "cluster"])
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "cluster", "values")), strict=True):
+                if k != key:
+                    if len(rows) > 1 and rows[0][1] != rows[-1][1]:
+                        yield from links(*map(list, zip(*rows, strict=True)))
+                    key, rows = k, []
+                rows.append(row)
+        if len(rows) > 1 and rows[0][1] != rows[-1][1]:
+            yield from links(*map(list, zip(*rows, strict=True)))
 
     return run
 
 
-def _lists(hot: int | None):  # noqa: ANN202
+def _lists(hot: int):  # noqa: ANN202
     """Sorted (key, cluster, doc) to pairs of documents of different clusters, or (doc, null) where the list is hot."""
 
     def pairs(doc: np.ndarray, cluster: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.concatenate([[0], np.flatnonzero(cluster[1:] != cluster[:-1]) + 1, [len(doc)]])
-        if hot is not None and len(edge) - 1 > hot:
+        if len(edge) - 1 > hot:
             yield batch_of(doc, None)
             return
         for i, j in zip(edge[1:-1].tolist(), edge[2:].tolist(), strict=True):
@@ -262,42 +300,40 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
         return joined.sortWithinPartitions("b", "a").mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
     starred = classes.select("doc", "sketch").mapInArrow(_stars, "key long, doc long")
-    heads = starred.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("many")).where("many > 1").select("key", "a")
-    stars = stored(with_sketches(starred.join(heads, "key").where("doc > a").select("a", F.col("doc").alias("b")).distinct()), "stars")
-    sure = stars.where(F.col("guess") >= SURE).select("a", "b")
-    links = None
-    while True:
-        named = components(sure).withColumnsRenamed({"node": "doc", "component": "cluster"})
-        listed = stored(classes.select("doc", "n", "sketch").join(named, "doc", "left").select("doc", "n", F.coalesce("cluster", "doc").alias("cluster"), "sketch"), "listed")
-        found: list[DataFrame] = []
-        these = listed
-        for level in (1, 2, 3, 4):
-            keys = these.select("doc", "cluster", "sketch").mapInArrow(_keys(level), "key long, doc long, cluster long")
-            met = stored(keys.repartition("key").sortWithinPartitions("key", "cluster", "doc").mapInArrow(_lists(HOT if level < 4 else None), "a long, b long"), f"met{level}")
-            pairs = met.where("b IS NOT NULL")
-            found.append(pairs.groupBy("a", "b").agg(F.count("*").alias("met")).where("met > 1").select("a", "b") if level == 1 else pairs.distinct())
-            if level == 4:
-                break
-            hot = met.where("b IS NULL").groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("hot"))
-            total = F.least("n", F.lit(LISTED)) if level == 1 else F.lit(0)
-            left = these.join(hot, "doc").where(total - F.col("hot") < COLD).drop("hot")
-            if left.isEmpty():
-                break
-            these = stored(left, f"left{level}")
-        pairs = found[0]
-        for more in found[1:]:
-            pairs = pairs.union(more)
-        likely = with_sketches(pairs.distinct()).select("a", "b").union(stars.select("a", "b")).distinct()
-        links = stored(confirmed(likely), "links")
-        refuted = sure.join(links.where("linked"), ["a", "b"], "left_anti")
-        if refuted.isEmpty():
-            break
-        sure = links.where("linked").select("a", "b")
+    shared = starred.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    met = stored(starred.join(shared, "key"), "stars")
+    company = met.groupBy("doc").agg(F.sum("many").alias("company"))
+    heads = met.join(company, "doc").groupBy("key").agg(F.max(F.struct("company", (-F.col("doc")).alias("doc"))).alias("head")).select("key", (-F.col("head.doc")).alias("head"))
+    pairs = met.join(heads, "key").where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+    first = stored(confirmed(with_sketches(pairs)).where("linked").select("a", "b"), "links")
+    named = components(first).withColumnsRenamed({"node": "doc", "component": "cluster"})
+    listed = stored(classes.select("doc", "n", "sketch").join(named, "doc", "left").select("doc", "n", F.coalesce("cluster", "doc").alias("cluster"), "sketch"), "listed")
+
+    def lists(these: DataFrame, start: int, end: int) -> DataFrame:
+        keys = these.select("doc", "cluster", "sketch").mapInArrow(_keys(start, end), "key long, doc long, cluster long")
+        return stored(keys.repartition("key").sortWithinPartitions("key", "cluster", "doc").mapInArrow(_lists(HOT), "a long, b long"), "lists")
+
+    def hot(lists: DataFrame) -> DataFrame:
+        return lists.where("b IS NULL").groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("hot"))
+
+    one = lists(listed, 0, LISTED)
+    found = [one.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("met")).where("met > 1").select("a", "b")]
+    links = first
+    left = stored(listed.join(hot(one), "doc").where(F.least("n", F.lit(LISTED)) - F.col("hot") < COLD), "left")
+    if not left.isEmpty():
+        two = lists(left.drop("hot"), LISTED, K)
+        found.append(two.where("b IS NOT NULL").distinct())
+        more = left.withColumnRenamed("hot", "before").join(hot(two), "doc", "left")
+        last = more.where(F.least("n", F.lit(K)) - F.col("before") - F.coalesce("hot", F.lit(0)) < COLD).select("doc", "cluster", "n", "sketch")
+        full = last.join(texts, "doc").mapInArrow(_set_keys(shingle), "key long, doc long, cluster long, values binary")
+        links = links.union(stored(full.repartition("key").sortWithinPartitions("key", "cluster", "doc").mapInArrow(_exact_lists(percent), "a long, b long").distinct(), "exact"))
+    pairs = found[0] if len(found) == 1 else found[0].union(found[1]).distinct()
+    links = links.union(stored(confirmed(with_sketches(pairs)).where("linked").select("a", "b"), "confirmed"))
     of = rows.join(classes.select("s1", "s2", F.col("doc").alias("class")), ["s1", "s2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
     # ids on rows of different sets tie these sets together
     twice = of.where("doc IS NOT NULL AND class IS NOT NULL").groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
-    more = of.join(twice, "doc").where("class > a").select("a", F.col("class").alias("b"))
-    ends = components(links.where("linked").select("a", "b").union(more))
+    tied = of.join(twice, "doc").where("class > a").select("a", F.col("class").alias("b"))
+    ends = components(links.union(tied))
     out = of.join(ends.withColumnsRenamed({"node": "class", "component": "end"}), "class", "left")
     component = F.when(F.col("doc").isNotNull(), F.least(F.coalesce("end", "class", "doc"), "doc"))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
