@@ -42,6 +42,7 @@ class TickTockEngine:
         """(entity_id, score)"""
         prepare_rank_inputs(matches, participants, appearances)
         c, now = self.config, self.clock.now
+        matches, participants = cut(matches), cut(participants)  # read many times below
         # a match's weight is its age's times its event's strength, so pairs are summed per event once
         base = resolve.weighted_matches(matches, now, c.decay.decay_rate, beta=0)
         resolved = resolve.resolve(base, participants, appearances, share=False)
@@ -92,6 +93,7 @@ class ExposureLogOddsEngine:
 
         prepare_rank_inputs(matches, participants, appearances)
         c, now = self.config, self.clock.now
+        matches, participants = cut(matches), cut(participants)  # read many times below
         done("input_normalization")
         active = participants.select(F.col("entity_id").alias("id")).where("id IS NOT NULL").distinct()
         if c.use_tick_tock_active:
@@ -198,6 +200,7 @@ class TTLEngine:
         so min_exposure above one leaves nothing and inactivity doesn't age."""
         prepare_rank_inputs(matches, participants, appearances)
         c, now = self.config, self.clock.now
+        matches, participants = cut(matches), cut(participants)  # read many times below
         members = participants.select("event_id", F.col("entity_id").alias("id")).where("id IS NOT NULL").distinct()
         strength = matches.select("event_id").distinct().withColumn("strength", F.lit(1.0))
         rated = None
