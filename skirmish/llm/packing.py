@@ -116,7 +116,7 @@ class Packer:
     def __init__(self, base: int) -> None:
         self.base, self.made, self.out = base, 0, []
         self.waiting: list[tuple[int, int, object, int, bytes, int]] = []  # ascending by length
-        self.serial = 0
+        self.serial, self.total = 0, 0
         self.filled: dict[int, int] = {}
 
     def add(self, key: object, ids: bytes) -> None:
@@ -131,6 +131,7 @@ class Packer:
 
     def _wait(self, key: object, start: int, ids: bytes, n: int) -> None:
         self.serial += 1
+        self.total += len(ids) // 4
         bisect.insort(self.waiting, (len(ids) // 4, self.serial, key, start, ids, n))
 
     def _emit(self, tier: int, pieces: list[tuple]) -> None:
@@ -148,6 +149,7 @@ class Packer:
         while gap:
             i = bisect.bisect_right(self.waiting, gap, key=lambda x: x[0]) - 1
             size, _, key, start, ids, n = self.waiting.pop(max(i, 0))
+            self.total -= size
             if size > gap:  # only the start of the shortest one fits
                 self._wait(key, start + gap, ids[4 * gap :], n)
                 size, ids = gap, ids[: 4 * gap]
@@ -159,13 +161,13 @@ class Packer:
         while len(self.waiting) > leave:
             longest = self.waiting[-1][0]
             tier = next(t for t in TIERS if longest <= t)
-            if sum(x[0] for x in self.waiting[-tier:]) < tier:
+            if self.total < tier:
                 break
             self._window(tier)
 
     def close(self) -> None:
         self._pack(0)
-        left, size = sum(x[0] for x in self.waiting), WINDOW
+        left, size = self.total, WINDOW
         while left:
             if left >= size:
                 self._window(size)

@@ -2,7 +2,7 @@
 
 A window is 13 consecutive words.  Its minimiser is the least hash of the word triples in it; consecutive windows of one
 document that share it travel as one string (a super-k-mer) to the minimiser's bucket, so a word is sent about three times
-rather than 13.  In a bucket all windows are sorted by hash, groups of equal windows are confirmed byte by byte, and each
+rather than 13; the strings are compressed with a small common dictionary.  In a bucket all windows are sorted by hash, groups of equal windows are confirmed byte by byte, and each
 window that also starts in a document with a smaller id is reported.
 
 Hot buckets: equal super-k-mers within about two million bytes of text send only the one of the smallest document (for the
@@ -17,7 +17,7 @@ repeated rows with one id none counts as smaller than another; an empty table gi
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from skirmish.llm.common import BLANK, CHUNK, U, chunks, mix, packed, ship, sign
 
 WINDOW = 13
 SEED = 3
+#: Texts, by their first 4000 characters, that the compression dictionary is made of.
+SAMPLED = 500
 LAST = (1 << 63) - 1
 SENT = "bucket long, doc long, row long, start int, n int, blob binary"
 FOUND = "doc long, row long, start int, n int"
@@ -44,8 +46,35 @@ def _runs(doc: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarra
     return first, np.concatenate([first[1:] - 1, [len(doc) - 1]])
 
 
-def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
+def dictionary(df: DataFrame, text: str) -> bytes:
+    """A compression dictionary from at most SAMPLED texts; it changes what is sent, never what is found."""
+    import zstandard
+
+    rows = df.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 4000)).limit(SAMPLED).collect()
+    parts = [b" ".join(w[i : i + 18]) for r in rows for w in [r[0].encode().split()] for i in range(0, len(w), 18)]
+    try:
+        return zstandard.train_dictionary(1 << 15, parts).as_bytes() if len(parts) > 500 else b" ".join(parts)
+    except zstandard.ZstdError:
+        return b" ".join(parts)
+
+
+_coders: dict[bytes, tuple] = {}
+
+
+def coder(words: bytes) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
+    """Compression and its inverse with a dictionary; equal strings become equal strings."""
+    import zstandard
+
+    if words not in _coders:
+        _coders.clear()
+        d = zstandard.ZstdCompressionDict(words) if words else None
+        _coders[words] = zstandard.ZstdCompressor(level=1, dict_data=d, write_dict_id=False).compress, zstandard.ZstdDecompressor(dict_data=d).decompress
+    return _coders[words]
+
+
+def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW, words_: bytes = b"") -> Iterator[pa.RecordBatch]:
     """(doc, row, text) to super-k-mers (blob) and to windows already known to be repeated (no blob)."""
+    squeeze, _ = coder(words_)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         rows = batch.column(1).to_numpy(zero_copy_only=False)
@@ -75,7 +104,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iter
             sent = docs == smallest[of]
             place, count = (lo - before[owner[lo]]).astype(np.int32), (last - first + 1).astype(np.int32)
             pick = np.flatnonzero(sent)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(least[lo[pick]])), pa.array(docs[pick]), pa.array(rows[a + owner[lo[pick]]]), pa.array(place[pick]), pa.array(np.zeros(len(pick), np.int32)), pa.array([blobs[i] for i in pick.tolist()], pa.binary())], ["bucket", "doc", "row", "start", "n", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(least[lo[pick]])), pa.array(docs[pick]), pa.array(rows[a + owner[lo[pick]]]), pa.array(place[pick]), pa.array(np.zeros(len(pick), np.int32)), pa.array([squeeze(blobs[i]) for i in pick.tolist()], pa.binary())], ["bucket", "doc", "row", "start", "n", "blob"])
             if len(rest := np.flatnonzero(~sent)):
                 f, g = _runs(owner[lo[rest]] + np.cumsum(np.concatenate([[0], lo[rest[1:]] != lo[rest[:-1]] + count[rest[:-1]]])), np.arange(len(rest)))
                 r, total = rest[f], (lo[rest[g]] + count[rest[g]] - lo[rest[f]]).astype(np.int32)
@@ -120,9 +149,11 @@ def _count(docs: list[int], rows: list[int], starts: list[int], blobs: list[byte
     return pa.RecordBatch.from_arrays([pa.array(np.array(docs)[own]), pa.array(np.array(rows)[own]), pa.array((np.array(starts)[own] + place[first]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["doc", "row", "start", "n"])
 
 
-def repeated_windows(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
+def repeated_windows(batches: Iterator[pa.RecordBatch], window: int = WINDOW, words_: bytes = b"") -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket, blob and document to the repeated windows."""
     names = ["doc", "row", "start", "n"]
+    _, expand = coder(words_)
+    text = b""
     docs: list[int] = []
     rows: list[int] = []
     starts: list[int] = []
@@ -141,15 +172,15 @@ def repeated_windows(batches: Iterator[pa.RecordBatch], window: int = WINDOW) ->
                     docs, rows, starts, blobs, size = [], [], [], [], 0
                 bucket, last = b, None
             if blob == last and d > last_doc:
-                more.append((d, r, at, blob.count(b" ") + 2 - window))
+                more.append((d, r, at, text.count(b" ") + 2 - window))
                 continue
             if blob != last:
-                last, last_doc = blob, d
+                last, last_doc, text = blob, d, expand(blob)
             docs.append(d)
             rows.append(r)
             starts.append(at)
-            blobs.append(blob)
-            size += len(blob)
+            blobs.append(text)
+            size += len(text)
         if more:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*more, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
     if blobs:
@@ -160,8 +191,9 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", window:
     """df with ``n_words``, ``n_removed`` and ``kept_text`` (the kept words joined by one space) added."""
     ship(df.sparkSession)
     doc, row = F.coalesce(F.col(key).cast("long"), F.lit(LAST)), F.xxhash64(F.col(key), F.col(text))
-    sent = df.select(doc.alias("doc"), row.alias("row"), F.col(text).alias("text")).mapInArrow(lambda b: super_kmers(b, window), SENT)
-    found = sent.repartition("bucket").sortWithinPartitions("bucket", "blob", "doc").mapInArrow(lambda b: repeated_windows(b, window), FOUND)
+    words_ = dictionary(df, text)
+    sent = df.select(doc.alias("doc"), row.alias("row"), F.col(text).alias("text")).mapInArrow(lambda b: super_kmers(b, window, words_), SENT)
+    found = sent.repartition("bucket").sortWithinPartitions("bucket", "blob", "doc").mapInArrow(lambda b: repeated_windows(b, window, words_), FOUND)
     spans = found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
     joined = df.withColumns({"_doc": doc, "_row": row}).join(spans.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left").drop("_doc", "_row")
     names = [c for c in joined.columns if c != "_spans"]
