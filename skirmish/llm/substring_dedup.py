@@ -2,7 +2,9 @@
 
 A window is 13 consecutive words.  Its minimiser is the least hash of the word triples in it; consecutive windows of one
 document that share it travel as one string (a super-k-mer) to the minimiser's bucket, so a word is sent about three times
-rather than 13; the strings are compressed with a small common dictionary.  In a bucket all windows are sorted by hash, groups of equal windows are confirmed byte by byte, and each
+rather than 13.  Strings travel in compressed bundles: a task holds some ``HELD`` bytes of them, deals them to bins (ranges of
+buckets, ``BINS`` per shuffle partition) and sends at most ``BUNDLE`` as one row.  On arrival bundles are opened and the
+strings sorted by bucket, which spills if need be.  In a bucket all windows are sorted by hash, groups of equal windows are confirmed byte by byte, and each
 window that also starts in a document with a smaller id is reported.
 
 Hot buckets: equal super-k-mers within about two million bytes of text send only the one of the smallest document (for the
@@ -17,21 +19,24 @@ repeated rows with one id none counts as smaller than another; an empty table gi
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import BLANK, CHUNK, U, chunks, mix, packed, ship, signed, sliding_min, table, text_bytes, word_hashes, words
+from skirmish.llm.common import BLANK, CHUNK, U, chunks, mix, packed, ship, sliding_min, table, text_bytes, word_hashes, words
 
 WINDOW = 13
 SEED = 3
-#: Texts, by their first 4000 characters, that the compression dictionary is made of.
-SAMPLED = 500
+#: Bins per shuffle partition, most strings in a bundle, and bytes of strings that a task holds before it sends them.
+BINS = 4
+BUNDLE = 600
+HELD = 24 << 20
 LAST = (1 << 63) - 1
-SENT = "bucket long, doc long, row long, start int, n int, blob binary"
+SENT = "bin int, many int, numbers binary, strings binary"
+OPENED = "bucket int, doc long, row long, start int, n int, blob binary"
 FOUND = "doc long, row long, start int, n int"
 
 
@@ -46,35 +51,59 @@ def _runs(doc: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarra
     return first, np.concatenate([first[1:] - 1, [len(doc) - 1]])
 
 
-def dictionary(df: DataFrame, text: str) -> bytes:
-    """A compression dictionary from at most SAMPLED texts; it changes what is sent, never what is found."""
-    import zstandard
+#: Columns of numbers in a bundle.
+NUMBERS = (("bucket", np.int32), ("doc", np.int64), ("row", np.int64), ("start", np.int32), ("n", np.int32))
 
-    rows = df.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 4000)).limit(SAMPLED).collect()
-    parts = [b" ".join(w[i : i + 18]) for r in rows for w in [r[0].encode().split()] for i in range(0, len(w), 18)]
-    try:
-        return zstandard.train_dictionary(1 << 15, parts).as_bytes() if len(parts) > 500 else b" ".join(parts)
-    except zstandard.ZstdError:
-        return b" ".join(parts)
 
+def bundles(bins: int, spread: np.ndarray, columns: list[np.ndarray], blobs: list[bytes] | None) -> pa.RecordBatch:
+    """One row per bin and at most BUNDLE strings: differences of the numbers byte by byte, and the strings, compressed."""
+    import zstandard
 
-_coders: dict[bytes, tuple] = {}
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    to = ((spread >> U(32)) % U(bins)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    head = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    ends = np.concatenate([head[1:], [len(to)]])
+    edges = [(i, min(i + BUNDLE, e)) for h, e in zip(head.tolist(), ends.tolist(), strict=True) for i in range(h, e, BUNDLE)]
+    columns, rows = [c[order] for c in columns], order.tolist()
+    numbers = [squeeze(b"".join(np.diff(c[i:j], prepend=c.dtype.type(0)).view(np.uint8).reshape(j - i, -1).T.tobytes() for c in columns)) for i, j in edges]
+    strings = [squeeze(b"\n".join([blobs[r] for r in rows[i:j]])) if blobs is not None else None for i, j in edges]
+    return pa.RecordBatch.from_arrays([pa.array(to[[i for i, _ in edges]]), pa.array([j - i for i, j in edges], pa.int32()), pa.array(numbers, pa.binary()), pa.array(strings, pa.binary())], ["bin", "many", "numbers", "strings"])
 
 
-def coder(words: bytes) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
-    """Compression and its inverse with a dictionary; equal strings become equal strings."""
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bundles to super-k-mers and windows known to be repeated."""
     import zstandard
 
-    if words not in _coders:
-        _coders.clear()
-        d = zstandard.ZstdCompressionDict(words) if words else None
-        _coders[words] = zstandard.ZstdCompressor(level=1, dict_data=d, write_dict_id=False).compress, zstandard.ZstdDecompressor(dict_data=d).decompress
-    return _coders[words]
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for many, numbers, strings in zip(*(batch.column(c).to_pylist() for c in ("many", "numbers", "strings")), strict=True):
+            numbers, at, out = expand(numbers), 0, []
+            for _, kind in NUMBERS:
+                wide = np.dtype(kind).itemsize
+                apart = np.frombuffer(numbers, np.uint8, many * wide, at).reshape(wide, many)
+                out.append(pa.array(np.cumsum(np.ascontiguousarray(apart.T).view(kind).ravel(), dtype=kind)))
+                at += many * wide
+            blobs = pa.nulls(many, pa.binary()) if strings is None else pa.array(expand(strings).split(b"\n"), pa.binary())
+            yield pa.RecordBatch.from_arrays([*out, blobs], [*(name for name, _ in NUMBERS), "blob"])
+
+
+def super_kmers(batches: Iterator[pa.RecordBatch], bins: int, window: int = WINDOW) -> Iterator[pa.RecordBatch]:
+    """(doc, row, text) to bundles of super-k-mers and of windows already known to be repeated (no strings)."""
+    held: list[tuple] = []
+    strings: list[bytes] = []
+    size = 0
 
+    def send() -> pa.RecordBatch:
+        nonlocal size
+        spread, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+        out = bundles(bins, spread, columns, strings)
+        held.clear()
+        strings.clear()
+        size = 0
+        return out
 
-def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW, words_: bytes = b"") -> Iterator[pa.RecordBatch]:
-    """(doc, row, text) to super-k-mers (blob) and to windows already known to be repeated (no blob)."""
-    squeeze, _ = coder(words_)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         rows = batch.column(1).to_numpy(zero_copy_only=False)
@@ -104,12 +133,19 @@ def super_kmers(batches: Iterator[pa.RecordBatch], window: int = WINDOW, words_:
             sent = docs == smallest[of]
             place, count = (lo - before[owner[lo]]).astype(np.int32), (last - first + 1).astype(np.int32)
             pick = np.flatnonzero(sent)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(least[lo[pick]])), pa.array(docs[pick]), pa.array(rows[a + owner[lo[pick]]]), pa.array(place[pick]), pa.array(np.zeros(len(pick), np.int32)), pa.array([squeeze(blobs[i]) for i in pick.tolist()], pa.binary())], ["bucket", "doc", "row", "start", "n", "blob"])
+            key = least[lo[pick]]
+            held.append((key, key.astype(np.uint32).view(np.int32), docs[pick], rows[a + owner[lo[pick]]], place[pick], np.zeros(len(pick), np.int32)))
+            strings += [blobs[i] for i in pick.tolist()]
+            size += sum(map(len, strings[-len(pick) :]))
             if len(rest := np.flatnonzero(~sent)):
                 f, g = _runs(owner[lo[rest]] + np.cumsum(np.concatenate([[0], lo[rest[1:]] != lo[rest[:-1]] + count[rest[:-1]]])), np.arange(len(rest)))
                 r, total = rest[f], (lo[rest[g]] + count[rest[g]] - lo[rest[f]]).astype(np.int32)
-                spread = signed(mix(rows[a + owner[lo[r]]].view(np.uint64) + place[r].astype(U)))
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(docs[r]), pa.array(rows[a + owner[lo[r]]]), pa.array(place[r]), pa.array(total), pa.nulls(len(r), pa.binary())], ["bucket", "doc", "row", "start", "n", "blob"])
+                spread = mix(rows[a + owner[lo[r]]].view(np.uint64) + place[r].astype(U))
+                yield bundles(bins, spread, [spread.astype(np.uint32).view(np.int32), docs[r], rows[a + owner[lo[r]]], place[r], total], None)
+            if size > HELD:
+                yield send()
+    if held:
+        yield send()
 
 
 def _count(docs: list[int], rows: list[int], starts: list[int], blobs: list[bytes], window: int) -> pa.RecordBatch:
@@ -149,11 +185,9 @@ def _count(docs: list[int], rows: list[int], starts: list[int], blobs: list[byte
     return pa.RecordBatch.from_arrays([pa.array(np.array(docs)[own]), pa.array(np.array(rows)[own]), pa.array((np.array(starts)[own] + place[first]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["doc", "row", "start", "n"])
 
 
-def repeated_windows(batches: Iterator[pa.RecordBatch], window: int = WINDOW, words_: bytes = b"") -> Iterator[pa.RecordBatch]:
+def repeated_windows(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket, blob and document to the repeated windows."""
     names = ["doc", "row", "start", "n"]
-    _, expand = coder(words_)
-    text = b""
     docs: list[int] = []
     rows: list[int] = []
     starts: list[int] = []
@@ -172,15 +206,15 @@ def repeated_windows(batches: Iterator[pa.RecordBatch], window: int = WINDOW, wo
                     docs, rows, starts, blobs, size = [], [], [], [], 0
                 bucket, last = b, None
             if blob == last and d > last_doc:
-                more.append((d, r, at, text.count(b" ") + 2 - window))
+                more.append((d, r, at, blob.count(b" ") + 2 - window))
                 continue
             if blob != last:
-                last, last_doc, text = blob, d, expand(blob)
+                last, last_doc = blob, d
             docs.append(d)
             rows.append(r)
             starts.append(at)
-            blobs.append(text)
-            size += len(text)
+            blobs.append(blob)
+            size += len(blob)
         if more:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*more, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
     if blobs:
@@ -191,9 +225,9 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", window:
     """df with ``n_words``, ``n_removed`` and ``kept_text`` (the kept words joined by one space) added."""
     ship(df.sparkSession)
     doc, row = F.coalesce(F.col(key).cast("long"), F.lit(LAST)), F.xxhash64(F.col(key), F.col(text))
-    words_ = dictionary(df, text)
-    sent = df.select(doc.alias("doc"), row.alias("row"), F.col(text).alias("text")).mapInArrow(lambda b: super_kmers(b, window, words_), SENT)
-    found = sent.repartition("bucket").sortWithinPartitions("bucket", "blob", "doc").mapInArrow(lambda b: repeated_windows(b, window, words_), FOUND)
+    bins = BINS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = df.select(doc.alias("doc"), row.alias("row"), F.col(text).alias("text")).mapInArrow(lambda b: super_kmers(b, bins, window), SENT)
+    found = sent.repartition("bin").mapInArrow(opened, OPENED).sortWithinPartitions("bucket", "blob", "doc").mapInArrow(lambda b: repeated_windows(b, window), FOUND)
     spans = found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
     joined = df.withColumns({"_doc": doc, "_row": row}).join(spans.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left").drop("_doc", "_row")
     names = [c for c in joined.columns if c != "_spans"]
