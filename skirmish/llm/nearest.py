@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +44,15 @@ RESULT = "query_id long, vec_id long, score double"
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, array) to (id, bytes of doubles, components, length); unfit ones go."""
     for batch in batches:
-        ids, out = [], []
-        for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if i is None or not x or None in x:
-                continue
-            v = np.array(x, float)
-            if np.isfinite(v).all() and v.any():
-                ids.append(i)
-                out.append(v + 0.0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([v.tobytes() for v in out], pa.binary()), pa.array([len(v) for v in out], pa.int32()), pa.array([float(np.sqrt((v * v).sum())) for v in out], pa.float64())], ["id", "v", "d", "length"])
+        # a null component reads as not finite
+        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float) + 0.0
+        edge = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
+        odd, full = (np.concatenate([[0], np.cumsum(x)]) for x in (~np.isfinite(flat), flat != 0))
+        fit = (odd[edge[1:]] == odd[edge[:-1]]) & (full[edge[1:]] > full[edge[:-1]]) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(fit)
+        ids = batch.column(0).take(pa.array(at))
+        out = [flat[a:b] for a, b in zip(edge[at].tolist(), edge[at + 1].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([ids, pa.array([v.tobytes() for v in out], pa.binary()), pa.array([len(v) for v in out], pa.int32()), pa.array([float(np.sqrt((v * v).sum())) for v in out], pa.float64())], ["id", "v", "d", "length"])
 
 
 def matrix(column: list[bytes] | pd.Series) -> np.ndarray:
