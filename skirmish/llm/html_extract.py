@@ -8,7 +8,7 @@ comments are told by the names of the elements that hold them; of the others the
 else the deepest that holds most of the text, is extracted from every page.
 
 Vectors are compared by 64-bit sums of page hashes times counts, so they are aggregated like any sum: no task ever holds a
-host.  A host's template has at most as many tokens as ``1/SUPPORT`` pages.  Pages that lack the host's slot, and pages of
+host.  The sums are written once, as two steps read them.  A host's template has at most as many tokens as ``1/SUPPORT`` pages.  Pages that lack the host's slot, and pages of
 hosts without one, are treated by the same rule on their own tokens.
 
 Cases: null or empty html gives an empty text; a null or odd URL counts as one host; broken markup is read as browsers do
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import ship, table
+from skirmish.llm.common import ship, stored, table
 
 SUPPORT = 0.5
 #: Share of the text that a slot must hold to be gone down into.
@@ -225,7 +225,7 @@ def templates(pages: DataFrame) -> DataFrame:
         slot = main_path(stats) if stats else None
         return pd.DataFrame({"host": host["host"].iloc[:1], "slot": [slot]})
 
-    sums = pages.mapInArrow(count, "host string, path string, n long, vector long, chars long, article long").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("article").alias("article"))
+    sums = stored(pages.mapInArrow(count, "host string, path string, n long, vector long, chars long, article long").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("article").alias("article")), "tokens")
     whole = sums.where("path = ''").select("host", F.col("n").alias("total"))
     kept = sums.join(whole, "host").where(F.col("n") >= SUPPORT * F.col("total")).drop("total")
     return kept.groupBy("host").applyInPandas(deduce, "host string, slot string")
