@@ -156,3 +156,29 @@ def test_toxicity_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(df, toxicity.learn(df, none)).collect()
     assert all(r["predicted"] == 0 for r in got) and len(got) == df.count()
+
+
+def test_bundles_open_to_what_went_in():
+    r = np.random.default_rng(1)
+    n = 5000
+    spread = r.integers(0, 1 << 63, n).astype(np.uint64)
+    columns = [r.integers(-9, 9, n).astype(kind) for _, kind in substring_dedup.NUMBERS]
+    columns[1][:2] = substring_dedup.LAST, -5
+    blobs = [b"w%d x" % i for i in r.integers(0, 99, n)]
+    for strings in (blobs, None):
+        sent = substring_dedup.bundles(7, spread, columns, strings)
+        assert max(sent.column("many").to_pylist()) <= substring_dedup.BUNDLE
+        got = [row for b in substring_dedup.opened(iter([sent])) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        key = lambda row: (row[:-1], row[-1] or b"")
+        assert sorted(got, key=key) == sorted(zip(*(c.tolist() for c in columns), strings or [None] * n, strict=True), key=key)
+
+
+def test_vectors_with_odd_components():
+    import pyarrow as pa
+
+    inf = float("inf")
+    rows = [(1, [1.0, -0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [inf, 1.0]), (None, [1.0, 1.0]), (8, [3.0, 4.0])]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.list_(pa.float32()))], ["id", "v"])
+    got = next(nearest._vectors(iter([batch])))
+    assert got.column("id").to_pylist() == [1, 8] and got.column("length").to_pylist() == [1.0, 5.0]
+    assert [np.frombuffer(v).tolist() for v in got.column("v").to_pylist()] == [[1.0, 0.0], [3.0, 4.0]]
