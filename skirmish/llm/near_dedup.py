@@ -1,9 +1,8 @@
 """Near-duplicates by bottom-k sketches (operator 10).
 
 A document is the set of its distinct shingles (hashed to 64 bits).  One hash function orders all shingles; a document
-retains the first ``K`` of its set (its sketch).  The order prefers long shingles, as their hash is halved for each
-character of up to ``BONUS``: long ones are rarer, so the lists below stay short.  The union's first K, read off two
-sketches, estimate the similarity of a pair.
+retains the first ``K`` of its set (its sketch), a random sample of the set, whatever its shingles look like.  The union's
+first K, read off two sketches, estimate the similarity of a pair.
 
 1. Documents of one set are one class, named by the smallest id; all else concerns classes.
 2. Stars: of the classes that share four consecutive retained values the one with the most company (its values are the
@@ -35,7 +34,6 @@ from skirmish.llm.components import components
 
 K = 64
 LISTED = 24
-BONUS = 24
 HOT = 64
 COLD = 10
 FOLD = np.arange(256, dtype=np.uint8)
@@ -56,18 +54,17 @@ def sketches(batches: Iterator[pa.RecordBatch], size: int, k: int = K) -> Iterat
             shingles = np.maximum(count - size + 1, (count > 0).astype(np.int64))
             first = np.repeat(before[:-1] - np.concatenate([[0], np.cumsum(shingles)[:-1]]), shingles) + np.arange(shingles.sum())
             wide = np.repeat(width, shingles)
-            value, chars = np.full(len(first), U(0x51ED270B)), np.zeros(len(first), np.int64)
+            value = np.full(len(first), U(0x51ED270B))
             for j in range(size):
                 use = wide > j
                 at = np.minimum(first + j, max(len(h) - 1, 0))
                 if len(h):
                     value = np.where(use, mix(value * U(0x9FB21C651E98DF25) + h[at]), value)
-                    chars += np.where(use, ends[at] - starts[at], 0)
             owner = np.repeat(np.arange(b - a), shingles)
             order = np.lexsort((value, owner))
-            value, owner, chars = value[order], owner[order], chars[order]
+            value, owner = value[order], owner[order]
             fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])[: len(value)]
-            value, owner, chars = value[fresh], owner[fresh], chars[fresh]
+            value, owner = value[fresh], owner[fresh]
             n = np.bincount(owner, minlength=b - a)
             edge = np.concatenate([[0], np.cumsum(n)])
             full = edge[:-1][n > 0]
@@ -75,8 +72,7 @@ def sketches(batches: Iterator[pa.RecordBatch], size: int, k: int = K) -> Iterat
             if len(full):
                 s1[n > 0] = np.add.reduceat(mix(value ^ U(0xA0761D6478BD642F)), full)
                 s2[n > 0] = np.add.reduceat(mix(value ^ U(0xE7037ED1A0B428DB)), full)
-            rank = mix(value) >> np.minimum(chars, BONUS).astype(U)
-            order = np.lexsort((value, rank, owner))
+            order = np.lexsort((mix(value), owner))
             value = value[order]
             n_all.append(n)
             s1_all.append(s1)

@@ -101,6 +101,20 @@ def test_near_duplicates(docs):
     assert {i: got[i]["n_shingles"] for i in got} == {i: len(s) for i, s in sets.items()}
 
 
+def test_near_duplicates_with_long_inserted_words(spark):
+    r = random.Random(10)
+    rows = []
+    for i in range(30):
+        base = [f"{r.randrange(2000):x}" for _ in range(200)]
+        footer = [f"https://example.org/{i}/{j}/{'x' * 30}" for j in range(24 + i % 24)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + footer))]
+    sets = {i: near_dedup.shingle_set(t.encode(), 2) for i, t in rows}
+    assert all(0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) <= 0.9 for i in range(0, 60, 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, shingle=2).collect()}
+    assert got == {i: i - i % 2 for i in sets}
+
+
 def test_warc(spark):
     rows = [(1, "http://a.example/x y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b.example", None), (4, "u", ""), (9, "u", "<p>é</p>"), (None, "u", "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
