@@ -23,8 +23,6 @@ from skirmish.llm.common import table
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
 THRESHOLD = -0.05
-#: Most trusted rows that the target is made of: those whose ids hash lowest.
-TRUSTED = 20_000
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 
@@ -88,9 +86,9 @@ def grams(w: Column, buckets: int = BUCKETS) -> Column:
 
 
 def weights(df: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row, column ``w``: the log ratio of each bucket.  ``trusted`` has ids; at most TRUSTED of them are used."""
-    ids = trusted.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(TRUSTED).withColumn("_t", F.lit(1))
-    marked = df.select(key, text).join(F.broadcast(ids), key, "left")
+    """One row, column ``w``: the log ratio of each bucket.  ``trusted`` has ids, of any number."""
+    ids = trusted.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_t", F.lit(1))
+    marked = df.select(key, text).join(ids, key, "left")
     each = marked.select("_t", F.explode(grams(words(F.col(text)), buckets)).alias("b"))
     counts = each.groupBy("b").agg(F.count("*").alias("r"), F.count("_t").alias("t"))
     spark = df.sparkSession

@@ -135,6 +135,19 @@ def test_quality_rules(spark):
     assert got[4]["n_repeat_words"] == 60 and got[4]["base_failed"] and got[2]["n_words"] == 0 and got[5]["base_failed"]
 
 
+def test_quality_target_counts_every_trusted_row(spark):
+    df = spark.range(41_000).selectExpr("id AS doc_id", "concat('w', id % 97) AS text")
+    trusted = df.where("doc_id < 30000").select("doc_id").union(df.select("doc_id").limit(5))
+    w = quality_rules.weights(df, trusted, buckets=64, smoothing=0.5).first()["w"]
+    bucket = {r["text"]: r["b"] for r in df.limit(97).selectExpr("text", "pmod(xxhash64(text), 64) AS b").collect()}
+    raw, target = np.zeros(64), np.zeros(64)
+    for i in range(41_000):
+        raw[bucket[f"w{i % 97}"]] += 1
+        target[bucket[f"w{i % 97}"]] += i < 30_000
+    want = np.log((target + 0.5) / (30_000 + 32)) - np.log((raw + 0.5) / (41_000 + 32))
+    assert np.allclose(w, want, rtol=0, atol=1e-12)
+
+
 def test_nearest(spark):
     r = np.random.default_rng(0)
     x = r.standard_normal((300, 16)).astype("float32")
