@@ -244,6 +244,21 @@ def _(i, w, r):  # noqa: ANN001, ANN202
     return rounded(connectivity.summary(connectivity.components(graph.pair_edges(early)), graph.entity_metrics(early)), "share", "weight")
 
 
+#: The same two over all matches.
+WHOLE = CC.replace(f" WHERE {EARLY}", "")
+
+
+@query("connected_components_whole", _sql("SELECT n AS id, c AS component FROM cc", WHOLE))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return connectivity.components(graph.pair_edges(cut(r)))
+
+
+@query("component_summary_whole", _sql("SELECT c AS component, count(*) AS nodes, round(sum(s), 6) AS share, round(sum(wt), 6) AS weight FROM cc JOIN (SELECT id AS n, sum(share) AS s, sum(weight) AS wt FROM mem GROUP BY id) USING (n) GROUP BY c", WHOLE))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    whole = cut(r)
+    return rounded(connectivity.summary(connectivity.components(graph.pair_edges(whole)), graph.entity_metrics(whole)), "share", "weight")
+
+
 @query("participants_by_event", _sql("SELECT event_id, count(*) AS n, min(id) AS first, max(id) AS last FROM mb GROUP BY ALL"))
 def _(i, w, r):  # noqa: ANN001, ANN202
     return resolve.participants_by_event(r).select("event_id", F.size("members").cast("long").alias("n"), F.array_min("members").alias("first"), F.array_max("members").alias("last"))

@@ -10,7 +10,7 @@ from skirmish.functions import smoothing
 from skirmish.functions import time as times
 from skirmish.operators import connectivity, graph, resolve
 from skirmish.operators.pagerank import by_joins, power_iteration
-from skirmish.plans import engines, fit
+from skirmish.plans import engines, fit, queries
 from skirmish.sources.schema import prepare_matches
 
 MATCH = "event_id long, match_id long, winner_id long, loser_id long, completed_at double"
@@ -112,3 +112,15 @@ def test_smoothing_and_time(spark):
     assert times.Clock(0).now == 0
     assert [tuple(r) for r in times.time_windows(spark, 0, 86400.0 * 2.5, 1).collect()] == [(0, 86400), (86400, 172800), (172800, 216000)]
     assert math.isclose(df.select(times.inactivity_decay(F.lit(-1.0), F.lit(0.0), 86400.0 * 40, 30, 0.01)).first()[0], -math.exp(-0.1))
+
+
+def test_components_of_all_matches(spark, tmp_path):
+    """Two islands outside the months and matches that the cut queries read."""
+    lines = [(1, 1, 10, 1, 9.0), (1, 2, 20, 2, 5.0), (2, 1, 20, 2, 9.0), (2, 2, 30, 3, 1.0), (3, 1, 40, 7, 8.0), (3, 2, 50, 8, 2.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.createDataFrame([(i,) for i in (1, 2, 3)], "o_orderkey long").withColumn("o_orderdate", F.to_timestamp_ntz(F.lit("2001-07-05 00:00:00")))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.QUERIES["connected_components_whole"](spark, str(tmp_path)).collect()
+    assert {r["id"]: r["component"] for r in got} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    got = queries.QUERIES["component_summary_whole"](spark, str(tmp_path)).collect()
+    assert {r["component"]: r["nodes"] for r in got} == {1: 3, 7: 2}
