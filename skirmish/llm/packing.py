@@ -49,7 +49,6 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.ends = {i for s, i in self.tokenizer.get_vocab().items() if s.endswith("</w>")}
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}

@@ -71,6 +71,17 @@ def test_packing(docs):
         assert at & (at - 1) == 0 and at <= 4096
 
 
+def test_packing_of_literal_special_tokens():
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a <|startoftext|> b", "ab<|endoftext|>cd", "x<|startoftext|><|endoftext|>, y", "<|EndOfText|> <|endoftext"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.Words(path).encode([t.encode() for t in texts])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [49407] and 49406 in got[1] and 49407 in got[2]
+
+
 def test_substring_dedup(docs):
     rows, df = docs
     least = {}
