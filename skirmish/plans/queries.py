@@ -357,7 +357,7 @@ def _loo(i: RankInputs, variant: str) -> DataFrame:
     engine = engines.ExposureLogOddsEngine(ExposureLogOddsConfig(decay=DecayConfig(HALF_LIFE), engine=EngineConfig(score_decay_rate=0.0), use_tick_tock_active=False), NOW)
     engine.rank_entities(i.matches, i.participants, i.appearances, component_policy="allow")
     busiest = graph.entity_metrics(engine.state["resolved"]).orderBy(F.desc("weight"), "id").first()["id"]
-    return engine.analyze_entity_matches(busiest, 10, variant)
+    return engine.analyze_entity_matches(busiest, variant=variant)
 
 
 query("loo_exact")(lambda i, w, r: _loo(i, "exact_combined"))

@@ -124,3 +124,12 @@ def test_components_of_all_matches(spark, tmp_path):
     assert {r["id"]: r["component"] for r in got} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
     got = queries.QUERIES["component_summary_whole"](spark, str(tmp_path)).collect()
     assert {r["component"]: r["nodes"] for r in got} == {1: 3, 7: 2}
+
+
+def test_leave_one_out_queries_take_all_matches(spark, tmp_path):
+    lines = [x for i in range(1, 13) for x in ((i, 1, 10, 1, 9.0), (i, 2, 20 + i % 3, 2 + i % 3, 5.0))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.createDataFrame([(i,) for i in range(1, 13)], "o_orderkey long").withColumn("o_orderdate", F.to_timestamp_ntz(F.lit("2001-07-05 00:00:00")))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.QUERIES["loo_neumann"](spark, str(tmp_path)).collect()
+    assert sorted(r["match_id"] for r in got) == list(range(1, 13))
