@@ -66,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The stages hold a learnt classifier and a tokenizer, which SQL can't express; tests hold run() against brute force.
+#: The stages hold a learnt classifier and a tokenizer, which SQL can't express; no test holds run() against brute force.
 ORACLE_SQL = None
