@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import ship, table
+from skirmish.llm.common import mapped, ship, table
 
 #: Most pieces that a worker remembers.
-CACHE = 600_000
+CACHE = 200_000
 
 
 def _byte_letters() -> list[str]:
@@ -135,7 +135,6 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """Adds to the columns kept: ``ids`` (array, if asked for), ``n_tokens``, ``ids_sha256`` of the decimal ids joined by
     one space, and ``decoded_sha256`` of the bytes that the ids decode to."""
-    ship(df.sparkSession)
     kept = df.select(*keep, F.col(text).alias("_text"))
     out = ", ".join([f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>"] * ids + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"])
 
@@ -153,7 +152,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
             names = ["ids"] * ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + made, [*keep, *names])
 
-    return kept.mapInArrow(run, out)
+    return mapped(kept, run, out)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:

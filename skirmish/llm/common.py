@@ -5,25 +5,34 @@ character, so splitting bytes equals splitting text.  ``bytes.split()`` splits o
 """
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Bytes of text that one numpy pass works on; about 60 times as much memory is used while it does.
-CHUNK = 2 << 20
+#: Bytes of text that are worked on at once (a longer text is alone), at some 12 times as much memory; what needs 60 times as
+#: much goes over ``SEGMENT`` bytes at a time, however long a text is.
+CHUNK = 512 << 10
+SEGMENT = 256 << 10
+#: Bytes of one Arrow batch.
+BATCH = 4 << 20
 U = np.uint64
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors unless they find it by PYTHONPATH or their working folder."""
+    """Sends this package to the executors unless they find it by PYTHONPATH or their working folder; bounds Arrow batches."""
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext
     if ROOT in paths or os.path.abspath(os.getcwd()) == ROOT or getattr(sc, "_skirmish_shipped", False):
@@ -39,9 +48,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    if set_ := spark.conf.get("spark.checkpoint.dir", None):
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``, else,
+    in local mode only, one of our own."""
+    if set_ := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return set_.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(spark, "_skirmish_dir", None):
         spark._skirmish_dir = "file://" + tempfile.mkdtemp(prefix="skirmish-")
     return spark._skirmish_dir
@@ -66,6 +78,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- work in Python workers
+def _rest() -> None:
+    """Gives back what the allocators keep, as an idle worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size by workers that give memory back when a task ends."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            _rest()
+
+    return df.mapInArrow(run, schema)
+
+
+def schema_of(df: DataFrame, *without: str) -> str:
+    """The columns of df as DDL, except those named."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without)
+
+
+def cleared(df: DataFrame, made: tuple[str, ...], *needed: str) -> DataFrame:
+    """df without columns that carry the name of one that is about to be made, which replaces it; those needed must not."""
+    names = {c.lower() for c in made}
+    if clash := [c for c in needed if c.lower() in names]:
+        raise ValueError(f"the input column {clash[0]} has the name of a result")
+    return df.select(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in names))
+
+
 # ---------------------------------------------------------------- texts as bytes
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
@@ -93,31 +141,6 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the number of words before each text (and in all)."""
-    solid = ~BLANK[data]
-    edge = np.diff(np.concatenate([[False], solid, [False]]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return starts, ends, np.searchsorted(starts, offsets)
-
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + (1 << 18))
-        _powers[:] = []
-        for base in (_BASE, _INVERSE):
-            out = np.full(size, base, U)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            _powers.append(out)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64 bits."""
     x = x ^ (x >> U(31))
@@ -127,13 +150,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by differences of one running polynomial."""
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+def _power_pair(n: int) -> list[np.ndarray]:
+    return [_powers(b, n) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+
+
+_small: list[np.ndarray] = []
+
+
+def _segment(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words, by differences of one running polynomial; ends with a blank."""
+    edge = np.diff(np.concatenate([[False], ~BLANK[data]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.empty(0, U)
-    up, down = _power_tables(len(data) + 1)
+        return starts, ends, np.empty(0, U)
+    if not _small:
+        _small[:] = _power_pair(SEGMENT + 1)
+    up, down = _small if len(data) <= SEGMENT else _power_pair(len(data) + 1)
     running = np.concatenate([[U(0)], np.cumsum((data.astype(U) + U(1)) * up[: len(data)])])
-    return mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    return starts, ends, mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word, and the number of words before each text (and in all); segments end at blanks."""
+    parts, at = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U))], 0
+    while at < len(data):
+        end = min(at + SEGMENT, len(data))
+        if end < len(data):
+            tail = np.flatnonzero(BLANK[data[at:end]])
+            while not len(tail):  # one word fills the segment
+                end = min(end + SEGMENT, len(data))
+                tail = np.flatnonzero(BLANK[data[at:end]])
+            end = at + int(tail[-1]) + 1
+        starts, ends, h = _segment(data[at:end])
+        parts.append((starts + at, ends + at, h))
+        at = end
+    starts, ends, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return starts, ends, h, np.searchsorted(starts, offsets)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -147,3 +208,29 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         x = np.minimum(x[:-have], x[have:])
         have *= 2
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+
+
+# ---------------------------------------------------------------- ids that are asked for
+#: Bits of the largest filter (16 MB).
+FILTER_BITS = 27
+
+
+def among(df: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """df without most rows whose key (a long) isn't in the one column of ``asked``: a filter before a join.
+
+    The filter is a bitmap of hashed ids of at most 2 ** FILTER_BITS bits, whatever the number of ids; beyond some tens of
+    millions of ids it lets more and more other rows through, which the join that follows drops."""
+    ids = asked.toDF("_id").where("_id IS NOT NULL")
+    bits = min(FILTER_BITS, max(10, (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    got = ids.select(place("_id").alias("p")).select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, int(p % 64)) AS b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(words.tobytes())
+
+    @F.pandas_udf("boolean")
+    def held(p: pd.Series) -> pd.Series:
+        table, at = np.frombuffer(shared.value, np.uint64), p.to_numpy(np.int64)
+        return pd.Series((table[at >> 6] >> (at & 63).astype(U) & U(1)).astype(bool))
+
+    return df.where(F.col(key).isNotNull()).where(held(place(key)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import ship, stored, table
+from skirmish.llm.common import mapped, stored, table
 
 SUPPORT = 0.5
 #: Share of the text that a slot must hold to be gone down into.
@@ -225,7 +225,7 @@ def templates(pages: DataFrame) -> DataFrame:
         slot = main_path(stats) if stats else None
         return pd.DataFrame({"host": host["host"].iloc[:1], "slot": [slot]})
 
-    sums = stored(pages.mapInArrow(count, "host string, path string, n long, vector long, chars long, article long").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("article").alias("article")), "tokens")
+    sums = stored(mapped(pages, count, "host string, path string, n long, vector long, chars long, article long").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("article").alias("article")), "tokens")
     whole = sums.where("path = ''").select("host", F.col("n").alias("total"))
     kept = sums.join(whole, "host").where(F.col("n") >= SUPPORT * F.col("total")).drop("total")
     return kept.groupBy("host").applyInPandas(deduce, "host string, slot string")
@@ -239,7 +239,6 @@ def hash_of(page: str) -> int:
 
 def extract(df: DataFrame, page: str = "html", url: str = "url", to: str = "text") -> DataFrame:
     """df with the main text added."""
-    ship(df.sparkSession)
     slots = templates(df.select(host_of(url).alias("host"), F.col(page).alias("html"))).where("slot IS NOT NULL")
     joined = df.withColumn("_host", host_of(url)).join(slots.withColumnsRenamed({"host": "_host", "slot": "_slot"}), "_host", "left").drop("_host")
     names = [c for c in joined.columns if c != "_slot"]
@@ -250,7 +249,7 @@ def extract(df: DataFrame, page: str = "html", url: str = "url", to: str = "text
             texts = [text_of(x or "", s) for x, s in zip(batch.column(page).to_pylist(), batch.column("_slot").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, to])
 
-    return joined.mapInArrow(run, f"{schema}, `{to}` string")
+    return mapped(joined, run, f"{schema}, `{to}` string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,31 @@
 """Near-duplicates by bottom-k sketches (operator 10).
 
 A document is the set of its distinct shingles (hashed to 64 bits).  One hash function orders all shingles; a document
-retains the first ``K`` of its set (its sketch), a random sample of the set, whatever its shingles look like.  The union's
-first K, read off two sketches, estimate the similarity of a pair.
+retains the first ``K`` of its set (its sketch), a random sample of the set, whatever its shingles look like.
 
 1. Documents of one set are one class, named by the smallest id; all else concerns classes.
-2. Stars: of the classes that share four consecutive retained values the one with the most company (its values are the
-   most often shared) is paired with each of the others, so a large group of near copies costs a few pairs per member.
-   Confirmed pairs join classes into clusters.
-3. Inverted lists of the first ``LISTED`` retained values: two classes of different clusters that meet in two lists are a
-   candidate.  A list over which more than ``HOT`` clusters are spread is skipped for classes that have at least ``COLD``
-   other values: of two sets of similarity 0.8 one in 200,000 would share fewer than two of ten retained values.  Classes
-   with fewer go on to the lists of their other retained values.  Those that even then lack cold values meet in the lists
-   of their first ``COLD`` values with their full sets, where similarities are computed exactly, each class outside the
-   list's largest cluster against all, and one link per class and cluster is reported.
-4. Candidates are filtered by the union's estimate (with five standard deviations to spare) and confirmed on the full sets.
-5. Components of the confirmed links.
+2. Inverted lists.  A list's key is made of retained values: of all that fall into one of the first ``BINS`` ranges of the
+   hash, if these are two or more.  Ranges depend on the power of two below the set's size (sets near the next power have
+   both kinds), so two sets have the same ranges, some three values in each.  A key of sets of similarity 0.8 is equal with a
+   chance of a third at least, so such a pair has no list in common once in 60,000 (sizes of 64 to 128) or two million pairs.
+   Sets of fewer than ``SHORT`` values use all pairs of their first values instead: so many that two sets of the similarity
+   asked for have a pair in common for certain (prefix filter; larger sets up to the size that can be similar do so too).
+3. Stars: in each list every class is paired with the smallest id, so a large group costs a few pairs per member.
+4. Lists over several components of the confirmed stars: pairs of stars, and of their members only where the triangle
+   inequality of the Jaccard distance lets them be similar (0.4 between the heads, 0.6 from a member to the other head).
+5. Lists over more than ``HOT`` stars aren't paired.  Classes that lack other lists (``NEED``; of the prefix kind, any) meet in
+   lists of single values, and a list that is still too long is split by one more retained value, and so on: with every
+   value the prefix grows by one, so nothing is lost (sets of some 20 to 40 values below a common bound stand for large
+   ones, with five standard deviations to spare).
+6. Candidates are filtered by the estimate from the union's sketch (with five standard deviations to spare) and confirmed
+   on the full sets; components of the confirmed links.
+
+Sketches and texts are joined for candidates only (``common.among``).  Hot keys: list sizes are counted with partial counts;
+lists are joined as skewed joins, which Spark splits; a pair's texts meet at its head in such a join too.
 
 Cases: null or empty texts have no shingles and no links; fewer words than a shingle make one shingle of all; a null id
-takes no part (component null); repeated rows are one document if their id is the same; an empty table gives no rows.
+takes no part (component null); repeated rows are one document if their id is the same; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 from __future__ import annotations
 
@@ -29,37 +36,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import U, chunks, mix, ship, signed, stored, table, text_bytes, word_hashes, words
+from skirmish.llm.common import U, among, chunks, mapped, mix, signed, stored, table, text_bytes, words
 from skirmish.llm.components import components
 
 K = 64
-LISTED = 24
+BINS = 40
+SHORT = 64
 HOT = 64
-COLD = 10
+NEED = 20
+#: Values of a large set that stand for it where lists are split: so many over the power of two below its size.
+SAMPLE = 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-SKETCH = "doc long, n long, s1 long, s2 long, sketch binary"
+SKETCH = "doc long, n long, s1 long, s2 long, sketch binary, keys array<long>"
 
 
-def sketches(batches: Iterator[pa.RecordBatch], size: int, k: int = K) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to the set's size, a 128-bit name of the set, and its sketch in order."""
+def least_overlap(n: int, percent: int) -> int:
+    """Shingles that a set of n shares at least with one as similar as asked for."""
+    return -(-percent * n // 100)
+
+
+def _combined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x * U(0x9FB21C651E98DF25) + y)
+
+
+def _levels(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The power of two below the size, and below the largest size that can be similar."""
+    return tuple(np.floor(np.log2(np.maximum(x, 1))).astype(np.int64) for x in (n, np.floor(n * 100 / percent)))
+
+
+def _bin_keys(value: np.ndarray, owner: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (even) and their owners, from values sorted by owner; level is each value's."""
+    wide = U(5 << 61) // (U(1) << (level - 2).astype(U))  # 2.5 values of a set of that power of two
+    at = value // wide
+    use = at < np.minimum(BINS, (1 << level) * 2 // 5).astype(U)
+    value, owner, level, at = value[use], owner[use], level[use], at[use]
+    if not len(value):
+        return value, owner
+    head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])]))
+    many = np.diff(np.concatenate([head, [len(value)]]))
+    key = mix(np.add.reduceat(mix(value ^ U(0xA0761D6478BD642F)), head) + at[head] + (level[head].astype(U) << U(32)))
+    return key[many > 1] & ~U(1), owner[head][many > 1]
+
+
+_pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _prefix_keys(first: np.ndarray) -> np.ndarray:
+    """Keys (odd) of all pairs of a set's first values."""
+    if len(first) not in _pairs:
+        _pairs[len(first)] = np.triu_indices(len(first), 1)
+    i, j = _pairs[len(first)]
+    return _combined(_combined(first[i], U(1)), first[j]) | U(1)
+
+
+def sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int = 80) -> Iterator[pa.RecordBatch]:
+    """(doc, text) to the set's size, a 128-bit name of the set, its sketch in order, and the keys of its lists."""
     for batch in batches:
-        ids = batch.column(0)
-        n_all, s1_all, s2_all, sk_all = [], [], [], []
+        out: list[list] = [[], [], [], [], []]
         for a, b, data, offsets in chunks(text_bytes(batch.column(1))):
-            data = FOLD[data]
-            starts, ends, before = words(data, offsets)
-            h, count = word_hashes(data, starts, ends), np.diff(before)
-            width = np.minimum(count, size)
+            _, _, h, before = words(FOLD[data], offsets)
+            count = np.diff(before)
             shingles = np.maximum(count - size + 1, (count > 0).astype(np.int64))
             first = np.repeat(before[:-1] - np.concatenate([[0], np.cumsum(shingles)[:-1]]), shingles) + np.arange(shingles.sum())
-            wide = np.repeat(width, shingles)
-            value = np.full(len(first), U(0x51ED270B))
+            wide, value = np.repeat(np.minimum(count, size), shingles), np.full(len(first), U(0x51ED270B))
             for j in range(size):
-                use = wide > j
-                at = np.minimum(first + j, max(len(h) - 1, 0))
                 if len(h):
-                    value = np.where(use, mix(value * U(0x9FB21C651E98DF25) + h[at]), value)
+                    value = np.where(wide > j, _combined(value, h[np.minimum(first + j, len(h) - 1)]), value)
             owner = np.repeat(np.arange(b - a), shingles)
             order = np.lexsort((value, owner))
             value, owner = value[order], owner[order]
@@ -67,190 +110,55 @@ def sketches(batches: Iterator[pa.RecordBatch], size: int, k: int = K) -> Iterat
             value, owner = value[fresh], owner[fresh]
             n = np.bincount(owner, minlength=b - a)
             edge = np.concatenate([[0], np.cumsum(n)])
-            full = edge[:-1][n > 0]
+            full, some = edge[:-1][n > 0], n > 0
             s1, s2 = np.zeros(b - a, U), np.zeros(b - a, U)
             if len(full):
-                s1[n > 0] = np.add.reduceat(mix(value ^ U(0xA0761D6478BD642F)), full)
-                s2[n > 0] = np.add.reduceat(mix(value ^ U(0xE7037ED1A0B428DB)), full)
-            order = np.lexsort((mix(value), owner))
-            value = value[order]
-            n_all.append(n)
-            s1_all.append(s1)
-            s2_all.append(s2)
-            sk_all += [value[x : min(x + k, y)].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                s1[some] = np.add.reduceat(mix(value ^ U(0xA0761D6478BD642F)), full)
+                s2[some] = np.add.reduceat(mix(value ^ U(0xE7037ED1A0B428DB)), full)
+            low, high = _levels(n, percent)
+            keys, owners = [], []
+            for level, use in ((low, n >= SHORT), (high, (n >= SHORT) & (high != low))):
+                use = use[owner]
+                k, o = _bin_keys(value[use], owner[use], level[owner[use]])
+                keys.append(k)
+                owners.append(o)
+            for i in np.flatnonzero((n > 0) & (n * percent <= SHORT * 100)).tolist():
+                m = int(n[i])
+                if least_overlap(m + 1, percent) <= m:  # else no other set is similar
+                    keys.append(_prefix_keys(value[edge[i] : edge[i] + min(m, m - least_overlap(m, percent) + 2)]))
+                    owners.append(np.full(len(keys[-1]), i))
+            keys, owners = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(owners, kind="stable")
+            ends = np.cumsum(np.bincount(owners, minlength=b - a))
+            out[0].append(n)
+            out[1].append(signed(s1))
+            out[2].append(signed(s2))
+            out[3] += [value[x : min(x + K, y)].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            out[4] += np.split(signed(keys[order]), ends[:-1])
         if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(n_all), pa.int64()), pa.array(signed(np.concatenate(s1_all))), pa.array(signed(np.concatenate(s2_all))), pa.array(sk_all, pa.binary())], ["doc", "n", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x), pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64()))], ["doc", "n", "s1", "s2", "sketch", "keys"])
 
 
 def estimate(x: bytes, y: bytes) -> float:
-    """Share of the union's first values that both sketches hold.  Both are in the same order, so the union's first K are
-    found by walking both; the order of a value that only one holds is known from its place between common ones."""
+    """Share of the union's first values that both sets hold; exact if both sketches hold all of their sets."""
     a, b = np.frombuffer(x, U), np.frombuffer(y, U)
-    both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0
-    full_a, full_b = len(a) < K, len(b) < K
-    if full_a and full_b:
-        return len(both) / (len(a) + len(b) - len(both))
-    # up to the last common value the two prefixes hold whatever either retains before it
-    ia, ib = np.sort(ia), np.sort(ib)
-    return len(both) / (ia[-1] + 1 + ib[-1] + 1 - len(both))
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    both = np.sort(np.concatenate([a, b]))
+    twin = both[1:] == both[:-1]
+    union = len(both) - int(twin.sum())
+    if union <= K or (len(a) < K and len(b) < K):
+        return (len(both) - union) / max(union, 1)
+    # the bound: the K-th distinct value; beyond it a sketch may lack values
+    fresh = both[np.concatenate([[True], ~twin])]
+    return float(np.count_nonzero(both[1:][twin] <= fresh[K - 1])) / K
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that can be as similar as their ``least`` by sizes and estimate."""
     for batch in batches:
-        keys, docs = [], []
-        for d, s in zip(batch.column("doc").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
-            v = np.frombuffer(s, U)
-            v = v[: len(v) - len(v) % 4].reshape(-1, 4)
-            k = np.zeros(len(v), U)
-            for j in range(4):
-                k = mix(k * U(0x9FB21C651E98DF25) + v[:, j])
-            keys.append(k)
-            docs += [d] * len(v)
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(docs, pa.int64())], ["key", "doc"])
-
-
-def _keys(first: int, end: int):  # noqa: ANN202
-    """(doc, cluster, sketch) to the values of these ranks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [np.frombuffer(s, U)[first:end] for s in batch.column("sketch").to_pylist()]
-            if keys:
-                many = [len(v) for v in keys]
-                made = [np.repeat(batch.column(c).to_numpy(), many) for c in ("doc", "cluster")]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), *map(pa.array, made)], ["key", "doc", "cluster"])
-
-    return run
-
-
-def _set_keys(size: int):  # noqa: ANN202
-    """(doc, cluster, text) to the first values of the set, each with the whole set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, clusters = batch.column("doc").to_pylist(), batch.column("cluster").to_pylist()
-            made = next(sketches(iter([pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text")], ["doc", "text"])]), size, 1 << 40), None)
-            if made is None:
-                continue
-            for d, c, s in zip(docs, clusters, made.column("sketch").to_pylist(), strict=True):
-                v = np.frombuffer(s, U)[:COLD]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(v)), pa.array([d] * len(v), pa.int64()), pa.array([c] * len(v), pa.int64()), pa.array([s] * len(v), pa.binary())], ["key", "doc", "cluster", "values"])
-
-    return run
-
-
-def _exact_lists(percent: int):  # noqa: ANN202
-    """Rows sorted by (key, cluster, doc), with full sets, to links between clusters."""
-
-    def links(doc: list[int], cluster: list[int], values: list[bytes]) -> Iterator[pa.RecordBatch]:
-        sets = [np.frombuffer(v, U) for v in values]
-        sizes = np.array([len(v) for v in sets])
-        names, of = np.unique(np.concatenate(sets), return_inverse=True)
-        edge = np.concatenate([[0], np.cumsum(sizes)])
-        cluster = np.array(cluster)
-        kinds, many = np.unique(cluster, return_counts=True)
-        mark, out = np.zeros(len(names), np.int64), []
-        for i in np.flatnonzero(cluster != kinds[many.argmax()]).tolist():
-            mine = of[edge[i] : edge[i + 1]]
-            mark[mine] = 1
-            both = np.add.reduceat(mark[of], edge[:-1])
-            mark[mine] = 0
-            alike = np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (cluster != cluster[i]))
-            for j in alike[np.unique(cluster[alike], return_index=True)[1]].tolist():
-                out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "cluster", "values")), strict=True):
-                if k != key:
-                    if len(rows) > 1 and rows[0][1] != rows[-1][1]:
-                        yield from links(*map(list, zip(*rows, strict=True)))
-                    key, rows = k, []
-                rows.append(row)
-        if len(rows) > 1 and rows[0][1] != rows[-1][1]:
-            yield from links(*map(list, zip(*rows, strict=True)))
-
-    return run
-
-
-def _lists(hot: int):  # noqa: ANN202
-    """Sorted (key, cluster, doc) to pairs of documents of different clusters, or (doc, null) where the list is hot."""
-
-    def pairs(doc: np.ndarray, cluster: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.concatenate([[0], np.flatnonzero(cluster[1:] != cluster[:-1]) + 1, [len(doc)]])
-        if len(edge) - 1 > hot:
-            yield batch_of(doc, None)
-            return
-        for i, j in zip(edge[1:-1].tolist(), edge[2:].tolist(), strict=True):
-            x, y = np.repeat(doc[i:j], i), np.tile(doc[:i], j - i)
-            for at in range(0, len(x), 1 << 16):
-                yield batch_of(np.minimum(x, y)[at : at + (1 << 16)], np.maximum(x, y)[at : at + (1 << 16)])
-
-    def batch_of(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], ["a", "b"])
-
-    def whole(key: np.ndarray, doc: np.ndarray, cluster: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Lists of two are paired at once, others one by one."""
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([head, [len(key)]]))
-        two = head[size == 2]
-        two = two[cluster[two] != cluster[two + 1]]
-        if len(two):
-            yield batch_of(np.minimum(doc[two], doc[two + 1]), np.maximum(doc[two], doc[two + 1]))
-        out_a, out_b = [], []
-        for h, n in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            if cluster[h] == cluster[h + n - 1]:
-                continue
-            for part in pairs(doc[h : h + n], cluster[h : h + n]):
-                if part.column(1).null_count or part.num_rows > 4096:
-                    yield part
-                else:
-                    out_a.append(part.column(0).to_numpy())
-                    out_b.append(part.column(1).to_numpy(zero_copy_only=False))
-            if len(out_a) > 2000:
-                yield batch_of(np.concatenate(out_a), np.concatenate(out_b))
-                out_a, out_b = [], []
-        if out_a:
-            yield batch_of(np.concatenate(out_a), np.concatenate(out_b))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("key", "doc", "cluster")]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            if cut:
-                yield from whole(*(x[:cut] for x in now))
-            rest = [x[cut:] for x in now]
-        if rest is not None and len(rest[0]):
-            yield from whole(*rest)
-
-    return run
-
-
-def _likely(threshold: float):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slack = 5 * np.sqrt(threshold * (1 - threshold) / K)
-        for batch in batches:
-            guess = []
-            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
-                # a pair must also have sizes that allow the threshold
-                guess.append(estimate(x, y) if min(n, m) >= threshold * max(n, m) - 1e-9 else 0.0)
-            guess = np.array(guess)
-            keep = pa.array(guess >= threshold - slack)
-            made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(guess, pa.float64())], ["a", "b", "guess"])
-            yield made.filter(keep)
-
-    return run
+        keep = []
+        for t, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("least", "na", "nb", "xa", "xb")), strict=True):
+            keep.append(min(n, m) >= t * max(n, m) - 1e-9 and estimate(x, y) >= t - 5 * (t * (1 - t) / K) ** 0.5)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "x", "y", "least")], ["a", "b", "x", "y", "least"]).filter(pa.array(keep, pa.bool_()))
 
 
 def shingle_set(text: bytes, size: int) -> frozenset:
@@ -264,67 +172,116 @@ def _confirm(size: int, percent: int):  # noqa: ANN202
         for batch in batches:
             keep = []
             for a, x, y in zip(batch.column("a").to_pylist(), text_bytes(batch.column("ta")), text_bytes(batch.column("tb")), strict=True):
-                if a != last:
-                    last, mine = a, shingle_set(x, size)
+                if (a, x) != last:
+                    last, mine = (a, x), shingle_set(x, size)
                 other = shingle_set(y, size)
                 both = len(mine & other)
                 keep.append(100 * both >= percent * (len(mine) + len(other) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _longer(percent: int):  # noqa: ANN202
+    """(doc, n, sketch, path) to lists whose key has one more value: (key, doc, path).
+
+    A path is a scheme (0: the set's first values; else the level of a sample of it) and places in ascending order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, keys, paths = [], [], []
+            for doc, n, sketch, path in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "sketch", "path")), strict=True):
+                v = np.frombuffer(sketch, U)
+                schemes = [path[0]] if path else [0] * (n * percent <= SHORT * 100) + [int(x) for x in {*map(int, _levels(np.array(n), percent))} if n >= SHORT]
+                for scheme in schemes:
+                    places = path[1:] if path else b""
+                    if scheme:
+                        mine = v[v < U(min(SAMPLE << (64 - scheme), (1 << 64) - 1))]
+                        m = len(mine)
+                        least = max(0, int(np.ceil(percent / 100 * m - 5 * (percent / 100 * (1 - percent / 100) * m) ** 0.5)))
+                    else:
+                        mine, m, least = v, n, least_overlap(n, percent)
+                    end = min(m - least + len(places) + 1, len(mine))
+                    key = U(scheme)
+                    for p in places:
+                        key = _combined(np.array([key]), mine[p : p + 1])[0]
+                    for p in range(places[-1] + 1 if places else 0, end):
+                        docs.append(doc)
+                        keys.append(int(_combined(np.array([key]), mine[p : p + 1])[0]))
+                        paths.append(bytes([scheme]) + places + bytes([p]))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(keys, U))), pa.array(docs, pa.int64()), pa.array(paths, pa.binary())], ["key", "doc", "path"])
 
     return run
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of df: key, n_shingles, component_id, kept."""
-    spark = df.sparkSession
-    ship(spark)
-    threshold = percent / 100
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = stored(docs.mapInArrow(lambda b: sketches(b, shingle), SKETCH), "sketches")
+    rows = stored(mapped(docs, lambda b: sketches(b, shingle, percent), SKETCH), "sketches")
     real = rows.where("n > 0 AND doc IS NOT NULL")
-    classes = stored(real.groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    # the text of a class is that of any row with its smallest id and its set
-    texts = docs.where("doc IS NOT NULL")
+    classes = stored(real.groupBy("s1", "s2").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "sketch", "keys"))), "classes")
+    alike = percent / 100
 
-    def with_sketches(pairs: DataFrame) -> DataFrame:
-        side = lambda s: classes.select(F.col("doc").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(threshold), "a long, b long, guess double")
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of (a, b, x, y, least) those whose x and y can be as similar."""
+        pairs = stored(pairs, "pairs")
+        asked = among(classes.select("doc", "n", "sketch"), "doc", pairs.select("x").union(pairs.select("y")).distinct())
+        side = lambda c, s: asked.select(F.col("doc").alias(c), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}"))
+        return mapped(pairs.join(side("y", "b"), "y").join(side("x", "a"), "x"), _likely, "a long, b long, x long, y long, least double")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda s: texts.select(F.col("doc").alias(s), F.col("text").alias(f"t{s}"))
-        joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-        return joined.sortWithinPartitions("b", "a").mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
-
-    starred = classes.select("doc", "sketch").mapInArrow(_stars, "key long, doc long")
-    shared = starred.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    met = stored(starred.join(shared, "key"), "stars")
-    company = met.groupBy("doc").agg(F.sum("many").alias("company"))
-    heads = met.join(company, "doc").groupBy("key").agg(F.max(F.struct("company", (-F.col("doc")).alias("doc"))).alias("head")).select("key", (-F.col("head.doc")).alias("head"))
-    pairs = met.join(heads, "key").where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
-    first = stored(confirmed(with_sketches(pairs)).where("linked").select("a", "b"), "links")
-    named = components(first).withColumnsRenamed({"node": "doc", "component": "cluster"})
-    listed = stored(classes.select("doc", "n", "sketch").join(named, "doc", "left").select("doc", "n", F.coalesce("cluster", "doc").alias("cluster"), "sketch"), "listed")
-
-    def lists(these: DataFrame, start: int, end: int) -> DataFrame:
-        keys = these.select("doc", "cluster", "sketch").mapInArrow(_keys(start, end), "key long, doc long, cluster long")
-        return stored(keys.repartition("key").sortWithinPartitions("key", "cluster", "doc").mapInArrow(_lists(HOT), "a long, b long"), "lists")
-
-    def hot(lists: DataFrame) -> DataFrame:
-        return lists.where("b IS NULL").groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("hot"))
-
-    one = lists(listed, 0, LISTED)
-    found = [one.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("met")).where("met > 1").select("a", "b")]
-    links = first
-    left = stored(listed.join(hot(one), "doc").where(F.least("n", F.lit(LISTED)) - F.col("hot") < COLD), "left")
-    if not left.isEmpty():
-        two = lists(left.drop("hot"), LISTED, K)
-        found.append(two.where("b IS NOT NULL").distinct())
-        more = left.withColumnRenamed("hot", "before").join(hot(two), "doc", "left")
-        last = more.where(F.least("n", F.lit(K)) - F.col("before") - F.coalesce("hot", F.lit(0)) < COLD).select("doc", "cluster", "n", "sketch")
-        full = last.join(texts, "doc").mapInArrow(_set_keys(shingle), "key long, doc long, cluster long, values binary")
-        links = links.union(stored(full.repartition("key").sortWithinPartitions("key", "cluster", "doc").mapInArrow(_exact_lists(percent), "a long, b long").distinct(), "exact"))
-    pairs = found[0] if len(found) == 1 else found[0].union(found[1]).distinct()
-    links = links.union(stored(confirmed(with_sketches(pairs)).where("linked").select("a", "b"), "confirmed"))
+        """Of (a, b) those that are linked."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        pairs = stored(likely(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(alike).alias("least"))).select("a", "b"), "likely")
+        asked = among(docs, "doc", pairs.select("a").union(pairs.select("b")).distinct())
+        side = lambda s: asked.select(F.col("doc").alias(s), F.col("text").alias(f"t{s}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a").sortWithinPartitions("a")
+        return stored(mapped(both.select("a", "b", "ta", "tb"), _confirm(shingle, percent), "a long, b long").distinct(), "confirmed")
+
+    each = classes.select(F.explode("keys").alias("key"), "doc")
+    heads = each.groupBy("key").agg(F.count("*").alias("many"), F.min("doc").alias("head")).where("many > 1").drop("many")
+    met = stored(each.join(heads, "key"), "lists")
+    first = confirmed(met.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")))
+    named = components(first).withColumnsRenamed({"node": "doc", "component": "one"})
+    star = first.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("star"))
+    stars = classes.select("doc").join(star, "doc", "left").join(named, "doc", "left").select("doc", F.coalesce("star", "doc").alias("star"), F.coalesce("one", "doc").alias("one"))
+    stars = stored(stars, "stars")
+    large = stored(stars.where("star <> doc").select("star").distinct(), "large")
+    members = stars.where("star <> doc").select("star", "doc").union(large.select("star", F.col("star").alias("doc")))
+
+    def crossed(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links over the lists (key, doc) of several components, and the keys of those that are too long."""
+        of = stored(lists.join(stars, "doc").select("key", "star", "one").distinct(), "crossed")
+        sizes = stored(of.groupBy("key").agg(F.count("*").alias("many"), F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo < hi").select("key", "many"), "sizes")
+        short = of.join(sizes.where(F.col("many") <= HOT).select("key"), "key")
+        two = short.withColumnsRenamed({"star": "a", "one": "ca"}).join(short.withColumnsRenamed({"star": "b", "one": "cb"}), "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+        marked = two
+        for s in ("a", "b"):
+            marked = marked.join(large.select(F.col("star").alias(s), F.lit(1).alias(f"m{s}")), s, "left")
+        marked = stored(marked.select("a", "b", (F.col("ma").isNotNull() | F.col("mb").isNotNull()).alias("some")), "starred")
+        out = marked.where("NOT some").select("a", "b")
+        if not (some := marked.where("some").select("a", "b")).isEmpty():
+            near = stored(likely(some.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(max(0.0, 3 * alike - 2)).alias("least"))).select("a", "b"), "near")
+            close = []
+            for here, there in (("a", "b"), ("b", "a")):
+                of_star = near.join(members.withColumnsRenamed({"star": here, "doc": "m"}), here, "left").withColumn("m", F.coalesce("m", here))
+                far = of_star.select("a", "b", F.col("m").alias("x"), F.col(there).alias("y"), F.lit(max(0.0, 2 * alike - 1)).alias("least"))
+                close.append(likely(far).select("a", "b", F.col("x").alias("y" if here == "b" else "x")))
+            out = out.union(close[0].join(close[1], ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        return confirmed(out), sizes.where(F.col("many") > HOT).select("key")
+
+    found, hot = crossed(met.select("key", "doc"))
+    links = first.union(found)
+    bins = F.size(F.filter("keys", lambda x: x.bitwiseAND(F.lit(1)) == 0))
+    lacking = met.join(hot, "key").groupBy("doc").agg(F.sum(F.expr("1 - (key & 1)")).alias("bins"), F.sum(F.expr("key & 1")).alias("pairs"))
+    left = classes.select("doc", "n", "sketch", bins.alias("all")).join(lacking, "doc").where((F.col("pairs") > 0) | (F.col("bins") > 0) & (F.col("all") - F.col("bins") < NEED))
+    left = stored(left.select("doc", "n", "sketch"), "left")
+    todo = left.withColumn("path", F.lit(b""))
+    while not todo.isEmpty():
+        longer = stored(mapped(todo, _longer(percent), "key long, doc long, path binary"), "longer")
+        found, hot = crossed(longer.select("key", "doc"))
+        links = links.union(found)
+        todo = stored(longer.join(hot, "key").select("doc", "path").join(left, "doc").select("doc", "n", "sketch", "path"), "hot")
     of = rows.join(classes.select("s1", "s2", F.col("doc").alias("class")), ["s1", "s2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
     # ids on rows of different sets tie these sets together
     twice = of.where("doc IS NOT NULL AND class IS NOT NULL").groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")

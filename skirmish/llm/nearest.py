@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import ship, stored, table
+from skirmish.llm.common import mapped, ship, stored, table
 
 SAMPLE = 8_000
 ROTATIONS = 6
@@ -160,7 +160,7 @@ def search_block(rows: pd.DataFrame, queries: pd.DataFrame, coder: Coder, radius
 def nearest(df: DataFrame, chosen: Column, k: int = 20, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for each row that ``chosen`` holds for."""
     ship(df.sparkSession)
-    fit = stored(df.select(F.col(key).cast("long").alias("id"), vector, F.coalesce(chosen, F.lit(False)).alias("q")).select("id", vector).mapInArrow(_vectors, "id long, v binary, d int, length double"), "vectors")
+    fit = stored(mapped(df.select(F.col(key).cast("long").alias("id"), vector), _vectors, "id long, v binary, d int, length double"), "vectors")
     most = fit.groupBy("d").agg(F.count("*").alias("n"), F.max("length").alias("longest")).orderBy(F.desc("n"), "d").first()
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if most is None:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import ship, table, text_bytes
+from skirmish.llm.common import mapped, table, text_bytes
 
 WINDOW = 4096
 TIERS = (512, 1024, 2048, WINDOW)
@@ -33,7 +33,7 @@ POOL = 4096
 #: Tokens in a step group.
 STEP = 8 * WINDOW
 #: Most words that a worker remembers, as written and in lower case without marks.
-CACHE = 600_000
+CACHE = 150_000
 
 
 class Words:
@@ -177,7 +177,6 @@ class Packer:
 
 def pack(df: DataFrame, path: str, end_id: int = 2, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group[, ids]."""
-    ship(df.sparkSession)
     kept = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     end = struct.pack("<I", end_id)
     kind = kept.schema["_key"].dataType.simpleString()
@@ -205,7 +204,7 @@ def pack(df: DataFrame, path: str, end_id: int = 2, text: str = "text", key: str
             p.close()
             yield rows()
 
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

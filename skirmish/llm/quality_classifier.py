@@ -6,7 +6,9 @@ the posterior of each pattern.  The posteriors of at most ``ROWS`` documents, th
 linear scorer on hashed words and hashed levels of the same statistics; it scores every document.
 
 Cases: null or empty texts have no words: all labellers abstain, and the score is that of the constant and the levels of
-zero; repeated rows are scored alike; an empty table gives no rows; other columns pass through ``score``.
+zero; repeated rows are scored alike and ties don't matter; a null id is scored but not learnt from; an empty table gives
+no rows (and a model that is the constant alone); other columns pass through ``score``, which replaces ``quality_score`` and
+``good``.  Memory: some 12 bytes for each byte of the longest text.
 """
 from __future__ import annotations
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import U, chunks, mix, ship, table, text_bytes, word_hashes, words
+from skirmish.llm.common import U, chunks, cleared, mapped, mix, schema_of, table, text_bytes, words
 
 ROWS = 8_000
 BITS = 18
@@ -37,8 +39,8 @@ MARK[list(b"!#*$%&|<>")] = True
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk of texts: statistics (text by labeller), hash of each word, and words before each text."""
-    starts, ends, before = words(data, offsets)
-    h, n = word_hashes(data, starts, ends), np.diff(before)
+    starts, ends, h, before = words(data, offsets)
+    n = np.diff(before)
     docs = len(n)
     per = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
     chars, owner = np.maximum(per(np.ones(len(data), bool)) - 1, 1), np.repeat(np.arange(docs), n)
@@ -132,7 +134,6 @@ def _code(v: np.ndarray) -> np.ndarray:
 
 def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """Votes are counted over all documents; the driver gets one row per pattern and the features of ROWS documents."""
-    ship(df.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(3**N, np.int64)
@@ -143,7 +144,7 @@ def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pattern", "n"])
 
-    got = df.select(F.col(text).alias("_text")).mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    got = mapped(df.select(F.col(text).alias("_text")), count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     codes = got["pattern"].to_numpy(np.int64)
     patterns = codes[:, None] // 3 ** np.arange(N) % 3 - 1
     post, share = expectation_maximisation(patterns, got["n"].to_numpy(float))
@@ -164,7 +165,7 @@ def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
 
     chosen = df.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(ROWS)
     sample = df.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).select("_text")
-    got = sample.mapInArrow(rows, "b array<int>, v array<float>, p double").toArrow()
+    got = mapped(sample, rows, "b array<int>, v array<float>, p double").toArrow()
     weights, constant = np.zeros(1 << BITS), 0.0
     if got.num_rows:
         got = got.combine_chunks()
@@ -185,10 +186,9 @@ def learn(df: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with ``quality_score`` (0 to 1) and ``good`` (score of 0.5 or more) added."""
-    ship(df.sparkSession)
-    names, where = df.columns, df.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    """df with ``quality_score`` (0 to 1) and ``good`` (score of 0.5 or more), which replace columns of these names."""
+    df = cleared(df, ("quality_score", "good"), text)
+    names, where, schema = df.columns, df.columns.index(text), schema_of(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             p = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(p >= 0.5)], [*names, "quality_score", "good"])
 
-    return df.mapInArrow(run, f"{schema}, quality_score double, good boolean")
+    return mapped(df, run, f"{schema}, quality_score double, good boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

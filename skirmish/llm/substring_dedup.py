@@ -2,19 +2,23 @@
 
 A window is 13 consecutive words.  Its minimiser is the least hash of the word triples in it; consecutive windows of one
 document that share it travel as one string (a super-k-mer) to the minimiser's bucket, so a word is sent about three times
-rather than 13.  Strings travel in compressed bundles: a task holds some ``HELD`` bytes of them, deals them to bins (ranges of
-buckets, ``BINS`` per shuffle partition) and sends at most ``BUNDLE`` as one row.  On arrival bundles are opened and the
-strings sorted by bucket, which spills if need be.  In a bucket all windows are sorted by hash, groups of equal windows are confirmed byte by byte, and each
-window that also starts in a document with a smaller id is reported.
-
-Hot buckets: equal super-k-mers within about two million bytes of text send only the one of the smallest document (for the
-others all windows are already known to be repeated), and in a bucket, where rows come sorted by string and document,
-equal strings after the first are settled while they stream by.  So what a task holds is bounded by the different strings
-of a bucket.
+rather than 13.  Strings travel in compressed bundles: a task holds some ``HELD`` bytes of them, deals them to bins (ranges
+of buckets, ``BINS`` per shuffle partition) and sends at most ``BUNDLE`` as one row.  On arrival bundles are opened and the
+strings sorted by bucket, which spills if need be.  In a bucket all windows are sorted by hash, groups of equal windows are
+confirmed byte by byte, and each window that also starts in a document with a smaller id is reported.
+
+Hot buckets.  Triples that would be the minimiser of more than one in ``bins`` windows are ordered last, so the windows
+around them spread over the buckets of their other triples: one document in ``PART`` tells which these are, at most
+``POPULAR``.  This list only decides where a window is counted, never whether.  A passage in very many documents is made of
+equal strings: of those that a task sees twice within ``CHUNK`` bytes it remembers some ``KNOWN`` and sends only the one of
+the smallest document (for the others all windows are already known to be repeated), and in a bucket, where rows come sorted
+by string and document, equal strings after the first are settled while they stream by.  So a task holds at most the
+different strings of one bucket, at some 12 times their bytes.
 
 Cases: null or empty texts have no words; texts of fewer than 13 words lose none; a null id is larger than all others; of
 repeated rows with one id none counts as smaller than another; an empty table gives no rows; other columns pass through
-``deduplicate`` untouched.
+``deduplicate``, whose ``n_words``, ``n_removed`` and ``kept_text`` replace columns of these names.  A very long text takes
+some 12 times its bytes.
 """
 from __future__ import annotations
 
@@ -26,14 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import BLANK, CHUNK, U, chunks, mix, packed, ship, sliding_min, table, text_bytes, word_hashes, words
+from skirmish.llm.common import CHUNK, U, chunks, cleared, mapped, mix, packed, schema_of, sliding_min, stored, table, text_bytes, words
 
 WINDOW = 13
 SEED = 3
 #: Bins per shuffle partition, most strings in a bundle, and bytes of strings that a task holds before it sends them.
 BINS = 4
 BUNDLE = 600
-HELD = 24 << 20
+HELD = 12 << 20
+#: One document in so many tells which triples are popular; at most so many triples, and remembered bytes of strings.
+PART = 64
+POPULAR = 1 << 16
+KNOWN = 2 << 20
 LAST = (1 << 63) - 1
 SENT = "bin int, many int, numbers binary, strings binary"
 OPENED = "bucket int, doc long, row long, start int, n int, blob binary"
@@ -89,11 +97,33 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*out, blobs], [*(name for name, _ in NUMBERS), "blob"])
 
 
-def super_kmers(batches: Iterator[pa.RecordBatch], bins: int, window: int = WINDOW) -> Iterator[pa.RecordBatch]:
+def _minimisers(h: np.ndarray, owner: np.ndarray, window: int, popular: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First windows of all windows of one text (word places), their minimisers, and first and last index of each run."""
+    triples = mix(h[:-2] * U(3) + h[1:-1] * U(0x9E3779B97F4A7C15) + h[2:] * U(0xC2B2AE3D27D4EB4F)) >> U(1)
+    if len(popular):
+        triples = triples | np.isin(triples, popular).astype(U) << U(63)
+    least = sliding_min(triples, window - SEED + 1)
+    at = np.flatnonzero(owner[: len(owner) - window + 1] == owner[window - 1 :])
+    return at, least, *_runs(owner[at], at, least[at])
+
+
+def popular_triples(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
+    """(doc, row, text) to minimisers and the number of their windows, a chunk at a time."""
+    for batch in batches:
+        for _, _, data, offsets in chunks([b" ".join(t.split()) for t in text_bytes(batch.column(2))]):
+            _, _, h, before = words(data, offsets)
+            if len(h) >= window:
+                at, least, _, _ = _minimisers(h, np.repeat(np.arange(len(before) - 1), np.diff(before)), window, np.empty(0, U))
+                found, many = np.unique(least[at], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(many, pa.int64())], ["triple", "n"])
+
+
+def super_kmers(batches: Iterator[pa.RecordBatch], bins: int, window: int = WINDOW, popular: np.ndarray = np.empty(0, U)) -> Iterator[pa.RecordBatch]:  # noqa: B008
     """(doc, row, text) to bundles of super-k-mers and of windows already known to be repeated (no strings)."""
     held: list[tuple] = []
     strings: list[bytes] = []
-    size = 0
+    known: dict[bytes, int] = {}  # strings seen again and again, and the smallest document that has sent them
+    size, remembered = 0, 0
 
     def send() -> pa.RecordBatch:
         nonlocal size
@@ -107,36 +137,38 @@ def super_kmers(batches: Iterator[pa.RecordBatch], bins: int, window: int = WIND
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         rows = batch.column(1).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in chunks(text_bytes(batch.column(2))):
-            starts, ends, before = words(data, offsets)
+        for a, b, data, offsets in chunks([b" ".join(t.split()) for t in text_bytes(batch.column(2))]):
+            starts, ends, h, before = words(data, offsets)
             if len(starts) < window:
                 continue
             owner = np.repeat(np.arange(b - a), np.diff(before))
-            h = word_hashes(data, starts, ends)
-            triples = mix(h[:-2] * U(3) + h[1:-1] * U(0x9E3779B97F4A7C15) + h[2:] * U(0xC2B2AE3D27D4EB4F))
-            least = sliding_min(triples, window - SEED + 1)
-            at = np.flatnonzero(owner[: len(owner) - window + 1] == owner[window - 1 :])
+            at, least, first, last = _minimisers(h, owner, window, popular)
             if not len(at):
                 continue
-            first, last = _runs(owner[at], at, least[at])
-            solid = ~BLANK[data]
-            keep = solid | np.concatenate([[False], solid[:-1]])
-            where = np.cumsum(keep) - 1
-            text = np.where(solid, data, 0x20)[keep].tobytes()
+            text = data.tobytes()
             lo, hi = at[first], at[last] + window - 1
-            blobs = [text[s:e] for s, e in zip(where[starts[lo]].tolist(), (where[ends[hi] - 1] + 1).tolist(), strict=True)]
+            blobs = [text[s:e] for s, e in zip(starts[lo].tolist(), ends[hi].tolist(), strict=True)]
             docs = ids[a + owner[lo]]
             group: dict[bytes, int] = {}
             of = np.fromiter((group.setdefault(x, len(group)) for x in blobs), np.int64, len(blobs))
             smallest = np.full(len(group), LAST)
             np.minimum.at(smallest, of, docs)
-            sent = docs == smallest[of]
+            before_now = np.fromiter((known.get(x, LAST) for x in group), np.int64, len(group)) if known else np.full(len(group), LAST)
+            sent = (docs == smallest[of]) & (docs <= before_now[of])
+            for x, many, d in zip(group, np.bincount(of).tolist(), smallest.tolist(), strict=True):
+                if many > 1 or x in known:
+                    if x not in known:
+                        remembered += len(x) + 100
+                    known[x] = min(d, known.get(x, LAST))
+            if remembered > KNOWN:
+                known, remembered = {}, 0
             place, count = (lo - before[owner[lo]]).astype(np.int32), (last - first + 1).astype(np.int32)
             pick = np.flatnonzero(sent)
-            key = least[lo[pick]]
-            held.append((key, key.astype(np.uint32).view(np.int32), docs[pick], rows[a + owner[lo[pick]]], place[pick], np.zeros(len(pick), np.int32)))
-            strings += [blobs[i] for i in pick.tolist()]
-            size += sum(map(len, strings[-len(pick) :]))
+            if len(pick):
+                key = mix(least[lo[pick]])
+                held.append((key, key.astype(np.uint32).view(np.int32), docs[pick], rows[a + owner[lo[pick]]], place[pick], np.zeros(len(pick), np.int32)))
+                strings += [blobs[i] for i in pick.tolist()]
+                size += sum(map(len, strings[-len(pick) :]))
             if len(rest := np.flatnonzero(~sent)):
                 f, g = _runs(owner[lo[rest]] + np.cumsum(np.concatenate([[0], lo[rest[1:]] != lo[rest[:-1]] + count[rest[:-1]]])), np.arange(len(rest)))
                 r, total = rest[f], (lo[rest[g]] + count[rest[g]] - lo[rest[f]]).astype(np.int32)
@@ -151,16 +183,17 @@ def super_kmers(batches: Iterator[pa.RecordBatch], bins: int, window: int = WIND
 def _count(docs: list[int], rows: list[int], starts: list[int], blobs: list[bytes], window: int) -> pa.RecordBatch:
     """The windows, in whole buckets, that also start in a smaller document."""
     data, offsets = packed(blobs)
-    s, e, before = words(data, offsets)
-    owner = np.repeat(np.arange(len(blobs)), np.diff(before))
-    h = word_hashes(data, s, e)
+    s, e, h, before = words(data, offsets)
+    owner = np.repeat(np.arange(len(blobs), dtype=np.int32), np.diff(before))
     at = np.flatnonzero(owner[: len(owner) - window + 1] == owner[window - 1 :])
     code = np.zeros(len(h) - window + 1, U)
     for j in range(window):
         code = code * U(0xD1342543DE82EF95) + h[j : len(h) - window + 1 + j]
     code, doc = code[at], np.array(docs)[owner[at]]
+    del h
     order = np.argsort(code, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
+    code = code[order]
+    head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     group = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(order)]])))
     least = np.minimum.reduceat(doc[order], head)
     holder = np.full(len(head), -1)
@@ -223,20 +256,23 @@ def repeated_windows(batches: Iterator[pa.RecordBatch], window: int = WINDOW) ->
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """df with ``n_words``, ``n_removed`` and ``kept_text`` (the kept words joined by one space) added."""
-    ship(df.sparkSession)
+    df = cleared(df, ("n_words", "n_removed", "kept_text"), text, key)
     doc, row = F.coalesce(F.col(key).cast("long"), F.lit(LAST)), F.xxhash64(F.col(key), F.col(text))
     bins = BINS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = df.select(doc.alias("doc"), row.alias("row"), F.col(text).alias("text")).mapInArrow(lambda b: super_kmers(b, bins, window), SENT)
-    found = sent.repartition("bin").mapInArrow(opened, OPENED).sortWithinPartitions("bucket", "blob", "doc").mapInArrow(lambda b: repeated_windows(b, window), FOUND)
-    spans = found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-    joined = df.withColumns({"_doc": doc, "_row": row}).join(spans.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left").drop("_doc", "_row")
-    names = [c for c in joined.columns if c != "_spans"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_spans")
+    texts = df.select(doc.alias("doc"), row.alias("row"), F.col(text).alias("text"))
+    seen = stored(mapped(texts.where(F.pmod(F.xxhash64("doc"), F.lit(PART)) == 0), lambda b: popular_triples(b, window), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")), "triples")
+    share = (seen.agg(F.sum("n")).first()[0] or 0) / bins
+    top = np.sort(seen.where(F.col("n") > max(share, window)).orderBy(F.desc("n"), "triple").limit(POPULAR).select("triple").toArrow().column(0).to_numpy()).view(np.uint64)
+    sent = mapped(texts, lambda b: super_kmers(b, bins, window, top), SENT)
+    found = mapped(mapped(sent.repartition("bin"), opened, OPENED).sortWithinPartitions("bucket", "blob", "doc"), lambda b: repeated_windows(b, window), FOUND)
+    spans = found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("__spans")).withColumnsRenamed({"doc": "__doc", "row": "__row"})
+    joined = df.withColumns({"__doc": doc, "__row": row}).join(spans, ["__doc", "__row"], "left").drop("__doc", "__row")
+    names, where = df.columns, df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept = [], [], []
-            for t, spans in zip(text_bytes(batch.column(text)), batch.column("_spans").to_pylist(), strict=True):
+            for t, spans in zip(text_bytes(batch.column(where)), batch.column(len(names)).to_pylist(), strict=True):
                 tokens = t.split()
                 total.append(len(tokens))
                 if spans:
@@ -246,9 +282,9 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", window:
                     tokens = [w for w, g in zip(tokens, gone.tolist(), strict=True) if not g]
                 removed.append(total[-1] - len(tokens))
                 kept.append(b" ".join(tokens))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept_text string")
+    return mapped(joined, run, f"{schema_of(df)}, n_words long, n_removed long, kept_text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import ship, stored, table
+from skirmish.llm.common import cleared, mapped, schema_of, stored, table
 
 ROWS = 50_000
 TERMS = 4_000
@@ -35,6 +35,9 @@ LEAST, RATIO = 3, 25.0
 #: Shortest term that is matched with an error.
 FUZZY = 5
 NEAR = 8
+#: States of the product that are kept (then it starts anew), and words.
+STATES = 20_000
+REMEMBERED = 150_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Marks of quotation and words of saying in four languages.
 QUOTES = "\"“”„«»‹›"
@@ -68,6 +71,12 @@ class Automaton:
         self.start = self._state(frozenset({(0, 0)}))
         self.seen: dict[str, int] = {}
 
+    def _forget(self) -> None:
+        """Drops all states but the start."""
+        start = self.sets[0]
+        self.states = {start: 0}
+        self.sets, self.moves, self.now, self.ever = [start], [{}], self.now[:1], self.ever[:1]
+
     def _state(self, items: frozenset) -> int:
         todo, full = list(items), set(items)
         while todo:  # a letter of the term left out
@@ -79,6 +88,8 @@ class Automaton:
                         todo.append((child, 1))
         key = frozenset(full)
         if key not in self.states:
+            if len(self.sets) >= STATES:  # begin anew; the state asked for and the start come back with their numbers
+                self._forget()
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
@@ -96,7 +107,10 @@ class Automaton:
             if not errors:
                 out.add((node, 1))
                 out.update((child, 1) for child in self.children[node].values())
-        self.moves[state][letter] = to = self._state(frozenset(out)) if out else -1
+        known = len(self.sets)
+        to = self._state(frozenset(out)) if out else -1
+        if len(self.sets) >= known:  # else the state left was forgotten
+            self.moves[state][letter] = to
         return to
 
     def match(self, word: str) -> int:
@@ -115,7 +129,7 @@ class Automaton:
         else:
             if v := self.now[state]:
                 best = min(best or v, v)
-        if len(self.seen) < 400_000:
+        if len(self.seen) < REMEMBERED:
             self.seen[word] = best
         return best
 
@@ -174,8 +188,6 @@ class Model:
 
 def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Fits the lexicon and the weights on training rows; what reaches the driver is bounded by TERMS and ROWS."""
-    spark = df.sparkSession
-    ship(spark)
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     chosen = known.orderBy(F.xxhash64(key), key).limit(ROWS)
     rows = stored(df.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).select("_text", "_y"), "toxic")
@@ -200,7 +212,7 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return Model([], [], np.append(np.zeros(FEATURES), 30.0 if n.get(True) else -30.0))
     ratio = (F.col("toxic") / n[True]) / ((F.col("clean") + 0.5) / n[False])
     least = max(LEAST, n[True] // 500)
-    best = rows.mapInArrow(terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("toxic") >= least) & (ratio >= RATIO) & (F.col("clean") * 20 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    best = mapped(rows, terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("toxic") >= least) & (ratio >= RATIO) & (F.col("clean") * 20 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
     begins: list[str] = []
     for t in sorted((r["term"][:-1] for r in best if r["term"].endswith("*")), key=lambda t: (len(t), t)):
         if not t.startswith(tuple(begins)):
@@ -213,7 +225,7 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             x = [features(t or "", automaton) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    got = rows.mapInArrow(measured, "x array<double>, y int").groupBy("x", "y").count().toPandas()
+    got = mapped(rows, measured, "x array<double>, y int").groupBy("x", "y").count().toPandas()
     x, y, many = np.array(got["x"].tolist()), np.array(got["y"] > 0, float), got["count"].to_numpy()
     return Model(words, begins, _fit(np.repeat(x, many, axis=0), np.repeat(y, many)))
 
@@ -222,11 +234,9 @@ _automata: dict[int, Automaton] = {}
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with ``score`` and ``predicted`` added."""
-    ship(df.sparkSession)
-    names = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    where = names.index(text)
+    """df with ``score`` and ``predicted`` added, which replace columns of these names."""
+    df = cleared(df, ("score", "predicted"), text)
+    names, where, schema = df.columns, df.columns.index(text), schema_of(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = zlib.crc32(repr((model.terms, model.begins)).encode())
@@ -239,7 +249,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return df.mapInArrow(run, f"{schema}, score double, predicted int")
+    return mapped(df, run, f"{schema}, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import fresh_path, ship, table, text_bytes
+from skirmish.llm.common import fresh_path, mapped, table
 
 #: Bytes of one fetch at most, unless a single record is longer; gaps up to GAP bytes are read over.
 FETCH = 8 << 20
@@ -78,7 +78,6 @@ def _file_system(path: str):  # noqa: ANN202
 def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Writes the archives and the index; gives the index, which lies as a table in ``folder``/index."""
     spark = df.sparkSession
-    ship(spark)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     pages = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload"))
     marked = pages.withColumn("sha1", F.sha1("payload"))
@@ -110,7 +109,7 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
             if out is not None:
                 out.close()
 
-    marked.join(groups, "sha1", "left").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    mapped(marked.join(groups, "sha1", "left"), run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -133,7 +132,6 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of a selection of index rows: id, url, payload_bytes, payload_digest, record_type, refers_to[, payload].
 
     A response's payload is held against its digest; the payload of a revisit is null here, as its response has it."""
-    ship(index.sparkSession)
     schema = "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +163,7 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 first = last
 
     chosen = index.select("archive", "offset", "length", F.floor(F.col("offset") / PART).alias("part"))
-    return chosen.repartition("archive", "part").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    return mapped(chosen.repartition("archive", "part").sortWithinPartitions("archive", "offset"), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
