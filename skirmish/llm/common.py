@@ -215,13 +215,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 FILTER_BITS = 27
 
 
-def among(df: DataFrame, key: str, asked: DataFrame) -> DataFrame:
-    """df without most rows whose key (a long) isn't in the one column of ``asked``: a filter before a join.
+def among(df: DataFrame, key: str, asked: DataFrame, most: int) -> DataFrame:
+    """df without most rows whose key (a long) isn't in the one column of ``asked`` (``most`` rows): a filter before a join.
 
     The filter is a bitmap of hashed ids of at most 2 ** FILTER_BITS bits, whatever the number of ids; beyond some tens of
     millions of ids it lets more and more other rows through, which the join that follows drops."""
     ids = asked.toDF("_id").where("_id IS NOT NULL")
-    bits = min(FILTER_BITS, max(10, (16 * ids.count()).bit_length()))
+    bits = min(FILTER_BITS, max(10, (8 * most).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     got = ids.select(place("_id").alias("p")).select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, int(p % 64)) AS b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     words = np.zeros(1 << (bits - 6), np.int64)

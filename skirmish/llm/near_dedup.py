@@ -14,9 +14,9 @@ retains the first ``K`` of its set (its sketch), a random sample of the set, wha
 4. Lists over several components of the confirmed stars: pairs of stars, and of their members only where the triangle
    inequality of the Jaccard distance lets them be similar (0.4 between the heads, 0.6 from a member to the other head).
 5. Lists over more than ``HOT`` stars aren't paired.  Classes that lack other lists (``NEED``; of the prefix kind, any) meet in
-   lists of single values, and a list that is still too long is split by one more retained value, and so on: with every
-   value the prefix grows by one, so nothing is lost (sets of some 20 to 40 values below a common bound stand for large
-   ones, with five standard deviations to spare).
+   lists whose key is as many values as give about ``MADE`` lists a set, and a list that is still too long is split by one
+   more retained value, and so on: with every value the prefix grows by one, so nothing is lost (sets of some 20 to 40
+   values below a common bound stand for large ones, with five standard deviations to spare).
 6. Candidates are filtered by the estimate from the union's sketch (with five standard deviations to spare) and confirmed
    on the full sets; components of the confirmed links.
 
@@ -30,6 +30,9 @@ columns, whatever their names, are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,8 @@ HOT = 64
 NEED = 20
 #: Values of a large set that stand for it where lists are split: so many over the power of two below its size.
 SAMPLE = 20
+#: Lists of a set, about, where lists are split.
+MADE = 1500
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SKETCH = "doc long, n long, s1 long, s2 long, sketch binary, keys array<long>"
@@ -182,6 +187,22 @@ def _confirm(size: int, percent: int):  # noqa: ANN202
     return run
 
 
+@lru_cache(4096)
+def _values_of_key(n: int, percent: int) -> frozenset[int]:
+    """Values of a key where lists are split, by the size of the larger of two similar sets; all that a set of n needs."""
+
+    def most(x: int) -> int:
+        least = least_overlap(x, percent)
+        return max((k for k in range(2, least + 1) if comb(x - least + k, k) <= MADE), default=min(2, least))
+
+    return frozenset(map(most, range(n, n * 100 // percent + 1)))
+
+
+@lru_cache(256)
+def _choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), np.uint8).reshape(-1, k)
+
+
 def _longer(percent: int):  # noqa: ANN202
     """(doc, n, sketch, path) to lists whose key has one more value: (key, doc, path).
 
@@ -189,7 +210,7 @@ def _longer(percent: int):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys, paths = [], [], []
+            docs, keys, paths = [], [np.empty(0, U)], []
             for doc, n, sketch, path in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "sketch", "path")), strict=True):
                 v = np.frombuffer(sketch, U)
                 schemes = [path[0]] if path else [0] * (n * percent <= SHORT * 100) + [int(x) for x in {*map(int, _levels(np.array(n), percent))} if n >= SHORT]
@@ -201,15 +222,20 @@ def _longer(percent: int):  # noqa: ANN202
                         least = max(0, int(np.ceil(percent / 100 * m - 5 * (percent / 100 * (1 - percent / 100) * m) ** 0.5)))
                     else:
                         mine, m, least = v, n, least_overlap(n, percent)
-                    end = min(m - least + len(places) + 1, len(mine))
-                    key = U(scheme)
-                    for p in places:
-                        key = _combined(np.array([key]), mine[p : p + 1])[0]
-                    for p in range(places[-1] + 1 if places else 0, end):
-                        docs.append(doc)
-                        keys.append(int(_combined(np.array([key]), mine[p : p + 1])[0]))
-                        paths.append(bytes([scheme]) + places + bytes([p]))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(keys, U))), pa.array(docs, pa.int64()), pa.array(paths, pa.binary())], ["key", "doc", "path"])
+                    sizes = [len(places) + 1] if path else [3] if scheme else _values_of_key(n, percent)
+                    for size in sizes:
+                        end = min(m - least + size, len(mine))
+                        if path:
+                            chosen = np.array([[*places, p] for p in range(places[-1] + 1, end)], np.uint8).reshape(-1, size)
+                        else:
+                            chosen = _choices(end, size)
+                        made = np.full(len(chosen), U(scheme))
+                        for column in chosen.T:
+                            made = _combined(made, mine[column])
+                        keys.append(made)
+                        docs += [doc] * len(made)
+                        paths += [bytes([scheme]) + c.tobytes() for c in chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(docs, pa.int64()), pa.array(paths, pa.binary())], ["key", "doc", "path"])
 
     return run
 
@@ -225,7 +251,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     def likely(pairs: DataFrame) -> DataFrame:
         """Of (a, b, x, y, least) those whose x and y can be as similar."""
         pairs = stored(pairs, "pairs")
-        asked = among(classes.select("doc", "n", "sketch"), "doc", pairs.select("x").union(pairs.select("y")).distinct())
+        asked = among(classes.select("doc", "n", "sketch"), "doc", pairs.select("x").union(pairs.select("y")), 2 * pairs.count())
         side = lambda c, s: asked.select(F.col("doc").alias(c), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}"))
         return mapped(pairs.join(side("y", "b"), "y").join(side("x", "a"), "x"), _likely, "a long, b long, x long, y long, least double")
 
@@ -233,7 +259,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
         """Of (a, b) those that are linked."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         pairs = stored(likely(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(alike).alias("least"))).select("a", "b"), "likely")
-        asked = among(docs, "doc", pairs.select("a").union(pairs.select("b")).distinct())
+        asked = among(docs, "doc", pairs.select("a").union(pairs.select("b")), 2 * pairs.count())
         side = lambda s: asked.select(F.col("doc").alias(s), F.col("text").alias(f"t{s}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").sortWithinPartitions("a")
         return stored(mapped(both.select("a", "b", "ta", "tb"), _confirm(shingle, percent), "a long, b long").distinct(), "confirmed")
@@ -250,7 +276,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     members = stars.where("star <> doc").select("star", "doc").union(large.select("star", F.col("star").alias("doc")))
 
     def crossed(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links over the lists (key, doc) of several components, and the keys of those that are too long."""
+        """Candidates of the lists (key, doc) of several components, and the keys of those that are too long."""
         of = stored(lists.join(stars, "doc").select("key", "star", "one").distinct(), "crossed")
         sizes = stored(of.groupBy("key").agg(F.count("*").alias("many"), F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo < hi").select("key", "many"), "sizes")
         short = of.join(sizes.where(F.col("many") <= HOT).select("key"), "key")
@@ -268,10 +294,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
                 far = of_star.select("a", "b", F.col("m").alias("x"), F.col(there).alias("y"), F.lit(max(0.0, 2 * alike - 1)).alias("least"))
                 close.append(likely(far).select("a", "b", F.col("x").alias("y" if here == "b" else "x")))
             out = out.union(close[0].join(close[1], ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        return confirmed(out), sizes.where(F.col("many") > HOT).select("key")
+        return out, sizes.where(F.col("many") > HOT).select("key")
 
-    found, hot = crossed(met.select("key", "doc"))
-    links = first.union(found)
+    candidates, hot = crossed(met.select("key", "doc"))
     bins = F.size(F.filter("keys", lambda x: x.bitwiseAND(F.lit(1)) == 0))
     lacking = met.join(hot, "key").groupBy("doc").agg(F.sum(F.expr("1 - (key & 1)")).alias("bins"), F.sum(F.expr("key & 1")).alias("pairs"))
     left = classes.select("doc", "n", "sketch", bins.alias("all")).join(lacking, "doc").where((F.col("pairs") > 0) | (F.col("bins") > 0) & (F.col("all") - F.col("bins") < NEED))
@@ -280,8 +305,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     while not todo.isEmpty():
         longer = stored(mapped(todo, _longer(percent), "key long, doc long, path binary"), "longer")
         found, hot = crossed(longer.select("key", "doc"))
-        links = links.union(found)
+        candidates = candidates.union(found)
         todo = stored(longer.join(hot, "key").select("doc", "path").join(left, "doc").select("doc", "n", "sketch", "path"), "hot")
+    links = first.union(confirmed(candidates))
     of = rows.join(classes.select("s1", "s2", F.col("doc").alias("class")), ["s1", "s2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
     # ids on rows of different sets tie these sets together
     twice = of.where("doc IS NOT NULL AND class IS NOT NULL").groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
