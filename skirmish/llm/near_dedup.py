@@ -8,8 +8,9 @@ retains the first ``K`` of its set (its sketch), a random sample of the set, wha
    hash, if these are two or more.  Ranges depend on the power of two below the set's size (sets near the next power have
    both kinds), so two sets have the same ranges, some three values in each.  A key of sets of similarity 0.8 is equal with a
    chance of a third at least, so such a pair has no list in common once in 60,000 (sizes of 64 to 128) or two million pairs.
-   Sets of fewer than ``SHORT`` values use all pairs of their first values instead: so many that two sets of the similarity
-   asked for have a pair in common for certain (prefix filter; larger sets up to the size that can be similar do so too).
+   Sets of fewer than ``SHORT`` values use all choices of some of their first values instead: of so many first values that
+   two sets of the similarity asked for have a choice in common for certain (prefix filter; larger sets up to the size that
+   can be similar do so too), and as many values a choice as give at most ``CHOICES`` lists (two at least).
 3. Stars: in each list every class is paired with the smallest id, so a large group costs a few pairs per member.
 4. Lists over several components of the confirmed stars: pairs of stars, and of their members only where the triangle
    inequality of the Jaccard distance lets them be similar (0.4 between the heads, 0.6 from a member to the other head).
@@ -45,12 +46,14 @@ from skirmish.llm.components import components
 K = 64
 BINS = 40
 SHORT = 64
-HOT = 64
-NEED = 20
+HOT = 128
+NEED = 15
+#: Lists of a short set, about.
+CHOICES = 170
 #: Values of a large set that stand for it where lists are split: so many over the power of two below its size.
 SAMPLE = 20
 #: Lists of a set, about, where lists are split.
-MADE = 1500
+MADE = 500
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SKETCH = "doc long, n long, s1 long, s2 long, sketch binary, keys array<long>"
@@ -84,15 +87,27 @@ def _bin_keys(value: np.ndarray, owner: np.ndarray, level: np.ndarray) -> tuple[
     return key[many > 1] & ~U(1), owner[head][many > 1]
 
 
-_pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+@lru_cache(4096)
+def _values_of_key(n: int, percent: int, lists: int) -> frozenset[int]:
+    """Values of a key, by the size of the larger of two similar sets; all that a set of n needs."""
+
+    def most(x: int) -> int:
+        least = least_overlap(x, percent)
+        return max((k for k in range(2, least + 1) if comb(x - least + k, k) <= lists), default=min(2, least))
+
+    return frozenset(map(most, range(n, n * 100 // percent + 1)))
 
 
-def _prefix_keys(first: np.ndarray) -> np.ndarray:
-    """Keys (odd) of all pairs of a set's first values."""
-    if len(first) not in _pairs:
-        _pairs[len(first)] = np.triu_indices(len(first), 1)
-    i, j = _pairs[len(first)]
-    return _combined(_combined(first[i], U(1)), first[j]) | U(1)
+@lru_cache(256)
+def _choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), np.uint8).reshape(-1, k)
+
+
+def _keys_of(value: np.ndarray, chosen: np.ndarray, begin: int) -> np.ndarray:
+    key = np.full(len(chosen), U(begin))
+    for column in chosen.T:
+        key = _combined(key, value[column])
+    return key
 
 
 def sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int = 80) -> Iterator[pa.RecordBatch]:
@@ -130,8 +145,9 @@ def sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int = 80) ->
             for i in np.flatnonzero((n > 0) & (n * percent <= SHORT * 100)).tolist():
                 m = int(n[i])
                 if least_overlap(m + 1, percent) <= m:  # else no other set is similar
-                    keys.append(_prefix_keys(value[edge[i] : edge[i] + min(m, m - least_overlap(m, percent) + 2)]))
-                    owners.append(np.full(len(keys[-1]), i))
+                    for many in _values_of_key(m, percent, CHOICES):
+                        keys.append(_keys_of(value[edge[i] : edge[i + 1]], _choices(min(m, m - least_overlap(m, percent) + many), many), 0) | U(1))
+                        owners.append(np.full(len(keys[-1]), i))
             keys, owners = np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(owners, kind="stable")
             ends = np.cumsum(np.bincount(owners, minlength=b - a))
@@ -187,22 +203,6 @@ def _confirm(size: int, percent: int):  # noqa: ANN202
     return run
 
 
-@lru_cache(4096)
-def _values_of_key(n: int, percent: int) -> frozenset[int]:
-    """Values of a key where lists are split, by the size of the larger of two similar sets; all that a set of n needs."""
-
-    def most(x: int) -> int:
-        least = least_overlap(x, percent)
-        return max((k for k in range(2, least + 1) if comb(x - least + k, k) <= MADE), default=min(2, least))
-
-    return frozenset(map(most, range(n, n * 100 // percent + 1)))
-
-
-@lru_cache(256)
-def _choices(n: int, k: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), k)), np.uint8).reshape(-1, k)
-
-
 def _longer(percent: int):  # noqa: ANN202
     """(doc, n, sketch, path) to lists whose key has one more value: (key, doc, path).
 
@@ -222,18 +222,15 @@ def _longer(percent: int):  # noqa: ANN202
                         least = max(0, int(np.ceil(percent / 100 * m - 5 * (percent / 100 * (1 - percent / 100) * m) ** 0.5)))
                     else:
                         mine, m, least = v, n, least_overlap(n, percent)
-                    sizes = [len(places) + 1] if path else [3] if scheme else _values_of_key(n, percent)
+                    sizes = [len(places) + 1] if path else [2] if scheme else _values_of_key(n, percent, MADE)
                     for size in sizes:
                         end = min(m - least + size, len(mine))
                         if path:
                             chosen = np.array([[*places, p] for p in range(places[-1] + 1, end)], np.uint8).reshape(-1, size)
                         else:
                             chosen = _choices(end, size)
-                        made = np.full(len(chosen), U(scheme))
-                        for column in chosen.T:
-                            made = _combined(made, mine[column])
-                        keys.append(made)
-                        docs += [doc] * len(made)
+                        keys.append(_keys_of(mine, chosen, scheme))
+                        docs += [doc] * len(chosen)
                         paths += [bytes([scheme]) + c.tobytes() for c in chosen]
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(docs, pa.int64()), pa.array(paths, pa.binary())], ["key", "doc", "path"])
 
