@@ -1,25 +1,32 @@
 """Main text of web pages by template deduction (operator 4).
 
-A token is a tag told apart by its path of open elements.  Over the pages of one host each token has an occurrence vector
-(its count on every page); tokens with equal vectors form an equivalence class.  A class is valid if it is on at least
-``SUPPORT`` of the host's pages and its paths nest; the valid classes, nested by path, are the host's template, and what
-lies between their tokens are slots.  The slots of menus, page headers, footers, sidebars, notices, adverts, forms and
-comments are told by the names of the elements that hold them; of the others the one under an article or main element, or
-else the deepest that holds most of the text, is extracted from every page.
-
-Vectors are compared by 64-bit sums of page hashes times counts, so they are aggregated like any sum: no task ever holds a
-host.  The sums are written once, as two steps read them.  A host's template has at most as many tokens as ``1/SUPPORT`` pages.  Pages that lack the host's slot, and pages of
-hosts without one, are treated by the same rule on their own tokens.
+Tokens are tags, told apart by their path of open elements, and blocks of words, told apart by path and words.  Over the
+pages of one host each token has an occurrence vector (its count on every page); tokens with equal vectors form an
+equivalence class.  A class is valid if it is on at least ``SUPPORT`` of the host's pages, and of its different pages, and
+``PAGES`` at least, and if the paths of its tokens nest in those of other valid classes; the valid classes, nested by path,
+are the host's template.  What lies between their tokens are slots.  The template's blocks of words are the host's own and
+go wherever they stand (a notice without a telling name, say); of the slots one is extracted from every page: that under an
+article or main element, or else the deepest that holds most of the text.
+
+What varies from page to page but isn't the article (menus, adverts, reader comments) no template tells from it; such parts
+are known by their elements and by names in class, id and role (``ASIDE``, ``NAMES``), as are all pages of hosts too small for
+a template.
+
+Vectors are compared by 64-bit sums of page hashes times counts, and different pages by a bitmap of 64 hash values, so both
+are aggregated like any sum: no task ever holds a host, and pages are never shuffled while templates hold at most ``SENT``
+tokens, which are broadcast; more are joined by host in a skewed join, which Spark splits.
 
 Cases: null or empty html gives an empty text; a null or odd URL counts as one host; broken markup is read as browsers do
-in the main (unclosed elements end with their parents); repeated rows are treated alike; an empty table gives no rows.
+in the main (unclosed elements end with their parents); elements deeper than ``DEEPEST`` count as part of the one there;
+repeated rows are treated alike and aren't different pages; an empty table gives no rows; other columns pass through
+``extract``, whose result replaces a column of its name.  A page takes some 30 times its bytes.
 """
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,9 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import mapped, stored, table
+from skirmish.llm.common import cleared, mapped, schema_of, stored, table
 
 SUPPORT = 0.5
+#: Different pages that a token of a template is on at least; elements above a path at most; tokens of templates broadcast.
+PAGES = 4
+DEEPEST = 100
+SENT = 200_000
 #: Share of the text that a slot must hold to be gone down into.
 MOST = 0.8
 #: Elements by their part in a page, and words in class, id and role that tell what isn't main text.
@@ -51,10 +62,10 @@ LINK = re.compile(r"/a(?:[/.]|\Z)").search
 
 
 class Node:
-    __slots__ = ("aside", "article", "path", "tag")
+    __slots__ = ("article", "aside", "deep", "path", "tag")
 
-    def __init__(self, tag: str, path: str, aside: bool, article: bool) -> None:
-        self.tag, self.path, self.aside, self.article = tag, path, aside, article
+    def __init__(self, tag: str, path: str, aside: bool, article: bool, deep: int) -> None:
+        self.tag, self.path, self.aside, self.article, self.deep = tag, path, aside, article, deep
 
 
 def _opened(tag: str, attributes: str, parent: Node) -> Node:
@@ -77,12 +88,13 @@ def _opened(tag: str, attributes: str, parent: Node) -> Node:
             aside = True
     if not aside and tag in ("article", "main"):
         article = True
-    return Node(tag, f"{parent.path}/{label}", aside, article)
+    return Node(tag, f"{parent.path}/{label}" if parent.deep < DEEPEST else parent.path, aside, article, parent.deep + 1)
 
 
 def walk(page: str) -> Iterator[tuple[str, Node, str]]:
     """("open", node, tag), ("close", node, tag), ("void", parent, tag) and ("text", parent, text), in page order."""
-    stack = [Node("", "", False, False)]
+    stack = [Node("", "", False, False, 0)]
+    opened: Counter = Counter()  # open elements by tag
     at = 0
     while at < len(page):
         m = TOKEN.match(page, at)
@@ -94,9 +106,10 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
             continue
         tag = tag.lower()
         if m[1]:
-            if any(n.tag == tag for n in stack):
+            if opened[tag]:
                 while True:
                     node = stack.pop()
+                    opened[node.tag] -= 1
                     yield "close", node, node.tag
                     if node.tag == tag:
                         break
@@ -112,10 +125,11 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
             yield "void", stack[-1], tag
             continue
         closes = CLOSES.get(tag, {"p"} if tag in BLOCK else None)
-        if closes:
+        if closes and any(opened[c] for c in closes):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closes:
                     for node in reversed(stack[i:]):
+                        opened[node.tag] -= 1
                         yield "close", node, node.tag
                     del stack[i:]
                     break
@@ -123,15 +137,19 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
                     break
         node = _opened(tag, m[3], stack[-1])
         stack.append(node)
+        opened[tag] += 1
         yield "open", node, tag
     for node in reversed(stack[1:]):
         yield "close", node, node.tag
 
 
-def tokens(page: str) -> dict[str, list[int]]:
-    """Of each path: its count, and the characters of text (links aside) in it and below."""
+Events = list[tuple[str, Node, str]]
+
+
+def tokens(events: Events) -> dict[str, list[int]]:
+    """Of each path: its count, the characters of text (links aside) in it and below, and whether it is an article's."""
     out: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for what, node, text in walk(page):
+    for what, node, text in events:
         if what == "open":
             out[node.path][0] += 1
             out[node.path][2] |= node.article
@@ -143,6 +161,30 @@ def tokens(page: str) -> dict[str, list[int]]:
     return out
 
 
+def blocks(events: Events) -> Iterator[tuple[str, bool, str, list[str]]]:
+    """Path, whether it is aside, words, and the paths of open elements (inner ones last) of each block of text."""
+    now: list[str] = []
+    first, around, inside = None, [], [""]
+    for what, node, text in events:
+        if what == "text":
+            if not node.aside and text.strip():
+                if first is None:
+                    first, around = node, inside.copy()
+                now.append(text)
+            elif now and not node.aside:
+                now.append(text)
+        elif text in BLOCK and now:
+            if words := SPACE.sub(" ", html.unescape("".join(now))).strip():
+                yield first.path, first.aside, words, around
+            now, first = [], None
+        if what == "open" and node.path != inside[-1]:
+            inside.append(node.path)
+        elif what == "close" and len(inside) > 1 and node.path == inside[-1] and node.deep <= DEEPEST:
+            inside.pop()
+    if now and (words := SPACE.sub(" ", html.unescape("".join(now))).strip()):
+        yield first.path, first.aside, words, around
+
+
 def main_path(stats: dict[str, tuple[int, int]]) -> str | None:
     """The slot to extract, from paths with their text and whether they lie in an article."""
     article = [p for p, (n, inside) in stats.items() if inside and n]
@@ -164,28 +206,18 @@ def main_path(stats: dict[str, tuple[int, int]]) -> str | None:
     return at
 
 
-def text_of(page: str, slot: str | None) -> str:
-    """The text of a slot, block by block; without the slot on the page, of the page's own."""
-    own = None
-    if slot is not None and not any(w == "open" and n.path == slot for w, n, _ in walk(page)):
-        slot = None
-    if slot is None:
-        own = main_path({p: (n, bool(a)) for p, (_, n, a) in tokens(page).items()})
-        slot = own
-    blocks, now, inside = [], [], 0
-    for what, node, text in walk(page):
-        if what == "open" and node.path == slot:
-            inside += 1
-        if what == "text":
-            if (inside or slot is None) and not node.aside:
-                now.append(text)
-        elif text in BLOCK:
-            blocks.append("".join(now))
-            now = []
-        if what == "close" and node.path == slot:
-            inside -= 1
-    blocks.append("".join(now))
-    return " ".join(b for b in (SPACE.sub(" ", html.unescape(x)).strip() for x in blocks) if b)
+def text_of(page: str, slot: str | None, host: int = 0, template: Callable[[int], bool] = lambda token: False) -> str:
+    """The text of a slot, block by block, without the template's; without the slot on the page, of the page's own."""
+    events = list(walk(page))
+    if slot is None or not any(w == "open" and n.path == slot for w, n, _ in events):
+        slot = main_path({p: (n, bool(a)) for p, (_, n, a) in tokens(events).items()})
+    return " ".join(words for path, _, words, around in blocks(events) if (slot is None or slot in around) and not template(token_of(host, path, words)))
+
+
+def token_of(host: int, path: str, words: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{host}\0{path}\0{words}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def host_of(url: str) -> Column:
@@ -193,42 +225,51 @@ def host_of(url: str) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot) of each host with a valid template, from pages with columns host and html."""
+    """Tokens of the hosts' templates, from pages with columns host (a hash) and html: host and, with a path, the slot of the
+    host, or else the token of a block of words."""
     mask = (1 << 64) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
+            sums: dict[tuple[int, str | None, int], list[int]] = {}
             for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page = page or ""
-                mark = hash_of(page)
-                for p, (n, chars, inside) in ({"": [1, 0, 0]} | tokens(page)).items():
-                    s = sums.setdefault((h, p), [0, 0, 0, 0])
+                events = list(walk(page or ""))
+                mark = hash_of(page or "")
+                words = Counter(token_of(h, path, text) for path, _, text, _ in blocks(events))
+                found = [((h, p, 0), x) for p, x in ({"": [1, 0, 0]} | tokens(events)).items()] + [((h, None, t), (n, 0, 0)) for t, n in words.items()]
+                for name, (n, chars, inside) in found:
+                    s = sums.setdefault(name, [0, 0, 0, 0, 0])
                     s[0] += 1
                     s[1] = (s[1] + mark * n) & mask
                     s[2] += chars
                     s[3] |= int(inside)
+                    s[4] |= 1 << (mark & 63)
             if sums:
-                hosts, paths = zip(*sums, strict=True)
-                n, v, c, a = zip(*sums.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(paths), pa.array(n, pa.int64()), pa.array(np.array(v, np.uint64).view(np.int64) >> 20), pa.array(c, pa.int64()), pa.array(a, pa.int64())], ["host", "path", "n", "vector", "chars", "article"])
+                hosts, paths, words = zip(*sums, strict=True)
+                n, v, c, a, m = zip(*sums.values(), strict=True)
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(paths, pa.string()), pa.array(words, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(v, np.uint64).view(np.int64) >> 20), pa.array(c, pa.int64()), pa.array(a, pa.int64()), signed(m)], ["host", "path", "token", "n", "vector", "chars", "article", "pages"])
 
     def deduce(host: pd.DataFrame) -> pd.DataFrame:
-        total = host.loc[host["path"] == "", "n"].sum()
-        frequent = host[(host["n"] >= SUPPORT * total) & (host["path"] != "")]
+        inside = set(host["path"].dropna()) | {""}
         stats: dict[str, tuple[int, bool]] = {}
-        for _, members in frequent.groupby(["n", "vector"]):
-            paths = sorted(members["path"], key=lambda p: p.count("/"))
-            # a class nests if its outermost token's parent is in the template too, or is the root
-            if all(p.rfind("/") == 0 or p[: p.rfind("/")] in set(frequent["path"]) for p in paths):
-                stats |= {p: (int(c), bool(a)) for p, c, a in zip(members["path"], members["chars"], members["article"], strict=True)}
+        words: list[int] = []
+        for _, members in host.groupby(["n", "vector"]):
+            # a class nests if the parents of its tags are in the template too, or the root
+            tags = members[members["path"].notna() & (members["path"] != "")]
+            if all(p[: p.rfind("/")] in inside for p in tags["path"]):
+                stats |= {p: (int(c), bool(a)) for p, c, a in zip(tags["path"], tags["chars"], tags["article"], strict=True)}
+                words += members.loc[members["path"].isna(), "token"].tolist()
         slot = main_path(stats) if stats else None
-        return pd.DataFrame({"host": host["host"].iloc[:1], "slot": [slot]})
+        rows = [(host["host"].iloc[0], slot, 0)] * (slot is not None) + [(host["host"].iloc[0], None, t) for t in words]
+        return pd.DataFrame(rows, columns=["host", "path", "token"])
 
-    sums = stored(mapped(pages, count, "host string, path string, n long, vector long, chars long, article long").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("article").alias("article")), "tokens")
-    whole = sums.where("path = ''").select("host", F.col("n").alias("total"))
-    kept = sums.join(whole, "host").where(F.col("n") >= SUPPORT * F.col("total")).drop("total")
-    return kept.groupBy("host").applyInPandas(deduce, "host string, slot string")
+    schema = "host long, path string, token long, n long, vector long, chars long, article long, pages long"
+    every = mapped(pages, count, schema).groupBy("host", "path", "token").agg(F.sum("n").alias("n"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("article").alias("article"), F.bit_or("pages").alias("pages"))
+    sums = stored(every.withColumn("different", F.bit_count("pages")).drop("pages").where((F.col("path") == "") | (F.col("n") >= PAGES) & (F.col("different") >= PAGES)), "tokens")
+    whole = sums.where("path = ''").select("host", F.col("n").alias("total"), F.col("different").alias("all"))
+    kept = sums.join(whole, "host").where((F.col("n") >= SUPPORT * F.col("total")) & (F.col("different") >= SUPPORT * F.col("all"))).drop("total", "all")
+    return stored(kept.groupBy("host").applyInPandas(deduce, "host long, path string, token long"), "templates")
 
 
 def hash_of(page: str) -> int:
@@ -239,17 +280,33 @@ def hash_of(page: str) -> int:
 
 def extract(df: DataFrame, page: str = "html", url: str = "url", to: str = "text") -> DataFrame:
     """df with the main text added."""
-    slots = templates(df.select(host_of(url).alias("host"), F.col(page).alias("html"))).where("slot IS NOT NULL")
-    joined = df.withColumn("_host", host_of(url)).join(slots.withColumnsRenamed({"host": "_host", "slot": "_slot"}), "_host", "left").drop("_host")
-    names = [c for c in joined.columns if c != "_slot"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_slot")
+    df = cleared(df, (to,), page, url)
+    names, where = df.columns, df.columns.index(page)
+    host = F.xxhash64(host_of(url))
+    found = templates(df.select(host.alias("host"), F.col(page).alias("html")))
+    slots = found.where("path IS NOT NULL").select(F.col("host").alias("__host"), F.col("path").alias("__slot"))
+    words = found.where("path IS NULL").select("host", "token")
+    few = found.count() <= SENT
+    hosted = df.withColumn("__host", host)
+    if few:
+        known = np.sort(words.select("token").toArrow().column(0).to_numpy())
+        joined = hosted.join(F.broadcast(slots), "__host", "left").withColumn("__words", F.lit(None).cast("array<bigint>"))
+    else:
+        known = np.empty(0, np.int64)
+        own = words.groupBy(F.col("host").alias("__host")).agg(F.collect_set("token").alias("__words"))
+        joined = hosted.join(slots.join(own, "__host", "full"), "__host", "left")
+    joined = joined.select(*(F.col(f"`{c}`") for c in names), "__host", "__slot", "__words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = frozenset(known.tolist())
         for batch in batches:
-            texts = [text_of(x or "", s) for x, s in zip(batch.column(page).to_pylist(), batch.column("_slot").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, to])
+            texts = []
+            for x, h, s, own in zip(*(batch.column(i).to_pylist() for i in (where, *range(len(names), len(names) + 3))), strict=True):
+                own = every if own is None else frozenset(own)
+                texts.append(text_of(x or "", s, h, own.__contains__))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], [*names, to])
 
-    return mapped(joined, run, f"{schema}, `{to}` string")
+    return mapped(joined, run, f"{schema_of(df)}, `{to}` string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         order = np.lexsort((value, of))
         again = np.concatenate([[False], (value[order][1:] == value[order][:-1]) & (of[order][1:] == of[order][:-1])])
         out[:, 4] = np.bincount(of[order], again, docs) / np.maximum(np.bincount(of, minlength=docs), 1)
+    out[n == 0] = 0
     return out, h, before
 
 
@@ -88,7 +89,7 @@ def votes(stats: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 def hashed(stats: np.ndarray, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row edges, buckets and values of the features: words by share, then levels of the statistics."""
     n, docs = np.diff(before), len(before) - 1
-    level = np.minimum((stats * 10).astype(np.int64), 9)
+    level = np.clip((stats * 10).astype(np.int64), 0, 9)
     named = mix((np.arange(N) * 16 + 1)[None, :].astype(U) + level.astype(U) + U(0xABCDEF) * U(1 << 20))
     edge = np.concatenate([[0], np.cumsum(n + N)])
     bucket, value = np.empty(edge[-1], np.int64), np.empty(edge[-1])

@@ -6,10 +6,13 @@ probabilities' ratio.  A document is kept if it passes the base rules and scores
 fixed one, so the verdict on a text depends on nothing but the text and the two multinomials.
 
 One pass counts all n-grams (the partial counts of a task are at most one per bucket); the table of bucket weights, whose
-size is fixed by ``BUCKETS``, reaches the second pass as a literal (subqueries aren't allowed in array functions).
+size is fixed by ``BUCKETS``, reaches the second pass as a literal with all digits (subqueries aren't allowed in array
+functions).
 
 Cases: null or empty texts have no words and fail the base rules; an empty target gives every bucket the same ratio;
-repeated rows count as often as they occur; an empty table gives no rows; other columns pass through ``score``.
+repeated rows count as often as they occur, and a score equal to the threshold is kept; a null id is never trusted; an empty
+table gives no rows; other columns pass through ``score``, whose own replace columns of the same names.  A very long text
+takes some 100 bytes a word.
 """
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import table
+from skirmish.llm.common import cleared, table
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
@@ -101,8 +104,9 @@ def weights(df: DataFrame, trusted: DataFrame, text: str = "text", key: str = "d
 
 def score(df: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """df with the base columns, ``llr`` (mean log ratio, null without words) and ``kept``."""
+    df = cleared(df, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"), text, key)
     ratios = weights(df, trusted, text, key).first()["w"]
-    w = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")  # folded to one literal
+    w = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal
     based = base_columns(df, text)
     total = F.aggregate(grams(words(F.col(text))), F.lit(0.0), lambda a, b: a + F.get(w, b))
     out = based.withColumn("llr", F.when(F.col("n_words") > 0, F.round(total / (2 * F.col("n_words") - 1), 9)))

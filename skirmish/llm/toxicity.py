@@ -10,7 +10,10 @@ A hit between quotation marks, or close after a word of saying, is taken for a q
 ``NEAR`` words speak for abuse.  A logistic regression on these counts gives the score.
 
 Cases: null or empty texts have no hits and get the score of such; null labels are not learnt from; without labels of both
-kinds every score is the share of toxic labels, or 0; repeated rows are scored alike; extra columns are not read.
+kinds every score is near 1 if all known labels are toxic and else near 0; repeated rows are scored alike; a document with
+two labels is toxic if one says so; an empty table gives no rows; other columns pass through ``score``, which replaces
+``score`` and ``predicted``.  Memory: the automaton keeps at most ``STATES`` states and ``REMEMBERED`` words; a very long text
+takes some 100 bytes a word.
 """
 from __future__ import annotations
 
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 from skirmish.llm.common import cleared, mapped, schema_of, stored, table
 
 ROWS = 50_000
-TERMS = 4_000
 #: Letters of a beginning; a shorter term is a whole word only.
 BEGIN = (4, 5, 6)
 #: Toxic documents that a term is in at least, and toxic per clean document, both as shares of their kind.
@@ -187,7 +189,8 @@ class Model:
 
 
 def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """Fits the lexicon and the weights on training rows; what reaches the driver is bounded by TERMS and ROWS."""
+    """Fits the lexicon and the weights on training rows; what reaches the driver is bounded by ROWS: each of at most ROWS
+    texts adds its terms to the lexicon, and a term must be in one toxic text of 500 at least."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     chosen = known.orderBy(F.xxhash64(key), key).limit(ROWS)
     rows = stored(df.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).select("_text", "_y"), "toxic")
@@ -212,7 +215,7 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return Model([], [], np.append(np.zeros(FEATURES), 30.0 if n.get(True) else -30.0))
     ratio = (F.col("toxic") / n[True]) / ((F.col("clean") + 0.5) / n[False])
     least = max(LEAST, n[True] // 500)
-    best = mapped(rows, terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("toxic") >= least) & (ratio >= RATIO) & (F.col("clean") * 20 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    best = mapped(rows, terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("toxic") >= least) & (ratio >= RATIO) & (F.col("clean") * 20 <= F.col("toxic"))).orderBy(F.desc("toxic"), "term").collect()
     begins: list[str] = []
     for t in sorted((r["term"][:-1] for r in best if r["term"].endswith("*")), key=lambda t: (len(t), t)):
         if not t.startswith(tuple(begins)):

@@ -5,13 +5,15 @@ archive, offset, length, URL, digest.  ``read`` takes any selection of index row
 neighbouring byte ranges and fetches each joined range with one call.  Archives are reached by Arrow's file systems (local,
 HDFS, S3, GCS), tables by Spark.
 
-Of records with equal payloads (by SHA-1 and length), that with the largest id is a response and the others are revisits
-that name it.  An archive's name holds the attempt, so a task that runs again never touches what an earlier one wrote, and
+Of records with equal payloads (by SHA-1 and length), empty ones too, that with the largest id is a response and the others
+are revisits that name it.  Only ids and hashes are shuffled to tell groups (sizes counted with partial counts, the groups'
+largest ids joined as a skewed join, which Spark splits); payloads go to the archives from where they are read, or, when more
+than ``NAMED`` groups have two or more pages, after a join by id.  An archive's name holds the attempt, so a task that runs again never touches what an earlier one wrote, and
 the index, stored before it is used, only names archives of tasks that ended.
 
-Cases: a null payload is empty; empty payloads are all responses; repeated rows with the largest id are all responses; a
-null id is a response, unless the same payload has an id elsewhere; empty tables make no archive and an empty index; a
-null URL is written as an empty one; other columns are not read.
+Cases: a null payload is empty; repeated rows with the largest id are all responses; a null id is a response, unless the
+same payload has an id elsewhere; empty tables make no archive and an empty index; a null URL is written as an empty one;
+other columns, whatever their names, are not read.  A very long payload is held whole, at some four times its bytes.
 """
 from __future__ import annotations
 
@@ -25,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import fresh_path, mapped, table
+from skirmish.llm.common import fresh_path, mapped, stored, table
 
 #: Bytes of one fetch at most, unless a single record is longer; gaps up to GAP bytes are read over.
 FETCH = 8 << 20
 GAP = 64 << 10
 #: Bytes of an archive that one task reads back.
 PART = 16 << 20
+#: Groups of equal payloads that are broadcast (20 bytes and an id each, some 20 MB); more are joined.
+NAMED = 200_000
 LEVEL = 4
 INDEX = "id long, url string, archive string, offset long, length long, payload_digest string, record_type string, refers_to long"
 
@@ -80,8 +84,15 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
     spark = df.sparkSession
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     pages = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload"))
-    marked = pages.withColumn("sha1", F.sha1("payload"))
-    groups = marked.where("length(payload) > 0").groupBy("sha1").agg(F.max("id").alias("largest"), F.count("*").alias("many")).where("many > 1").drop("many")
+    marked = pages.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("bytes", F.length("payload"))
+    names = marked.select("id", "sha1", "bytes")
+    groups = stored(names.groupBy("sha1", "bytes").agg(F.max("id").alias("largest"), F.count("*").alias("many")).where("many > 1").drop("many"), "groups")
+    if groups.count() <= NAMED:
+        ready = marked.join(F.broadcast(groups), ["sha1", "bytes"], "left")
+    else:
+        # ids of pages that aren't the response, and the payload's hash, as an id may be on several rows
+        later = names.join(groups, ["sha1", "bytes"]).where("NOT id <=> largest").select("sha1", "bytes", "id", "largest").distinct().toDF("s", "b", "i", "largest")
+        ready = marked.join(later, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha1") == F.col("s")) & (F.col("bytes") == F.col("b")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = _file_system(folder)
@@ -97,7 +108,7 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
                 ids, urls, sha1s, largest = (batch.column(c).to_pylist() for c in ("id", "url", "sha1", "largest"))
                 for i, u, body, sha1, most in zip(ids, urls, batch.column("payload"), sha1s, largest, strict=True):
                     kind = "response" if most is None or i == most else "revisit"
-                    digest = base32(bytes.fromhex(sha1))
+                    digest = base32(sha1)
                     member = record(kind, i, u, body.as_py(), digest, most)
                     out.write(member)
                     rows.append((i, u, name, offset, len(member), digest, kind, most if kind == "revisit" else None))
@@ -109,7 +120,7 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
             if out is not None:
                 out.close()
 
-    mapped(marked.join(groups, "sha1", "left"), run, INDEX).write.parquet(f"{folder}/index")
+    mapped(ready.select("id", "url", "payload", "sha1", "largest"), run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -163,7 +174,9 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 first = last
 
     chosen = index.select("archive", "offset", "length", F.floor(F.col("offset") / PART).alias("part"))
-    return mapped(chosen.repartition("archive", "part").sortWithinPartitions("archive", "offset"), run, schema)
+    # tasks by the bytes to fetch: the index rows themselves are small and would be put into one task
+    size = chosen.agg(F.sum("length")).first()[0] or 0
+    return mapped(chosen.repartition(size // PART + 1, "archive", "part").sortWithinPartitions("archive", "offset"), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +189,7 @@ SQL = r"""
 WITH RECURSIVE p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x FROM p),
 bits AS (SELECT page_id, n, x, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(x, 1 + 5 * i // 4, 2) || CASE WHEN 5 * i // 4 + 2 > 40 THEN '0' ELSE '' END)::INTEGER >> (3 - (5 * i) % 4) & 31), 1)) AS c FROM h),
-g AS (SELECT x, n, max(page_id) AS m FROM h WHERE n > 0 GROUP BY x, n)
+g AS (SELECT x, n, max(page_id) AS m FROM h GROUP BY x, n)
 SELECT page_id, bits.n::BIGINT AS payload_bytes, array_to_string(c, '') AS payload_digest,
   CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN m <> page_id THEN m END AS refers_to
 FROM bits LEFT JOIN g ON bits.x = g.x AND bits.n = g.n
