@@ -1,4 +1,4 @@
-"""Settings of the engines."""
+"""Settings of the engines.  Fixed values: the names and defaults are the public interface."""
 from __future__ import annotations
 
 import math
@@ -49,7 +49,7 @@ class TickTockConfig:
     smoothing_mode: str = "wins_proportional"
     influence_method: str = "arithmetic"
     compute_retrospective: bool = True
-    retrospective_decay_rate: float = 0.1
+    retrospective_decay_rate: float = 0.005
 
 
 @dataclass
@@ -59,7 +59,7 @@ class ExposureLogOddsConfig:
     decay: DecayConfig = field(default_factory=DecayConfig)
     tick_tock: TickTockConfig = field(default_factory=TickTockConfig)
     use_surprisal: bool = False
-    surprisal_mode: str = "none"
+    surprisal_mode: str = "basic"
     use_tick_tock_active: bool = True
     active_threshold_days: float = 90.0
     lambda_mode: str = "auto"
@@ -68,6 +68,6 @@ class ExposureLogOddsConfig:
     score_scale: float = 1.0
 
 
-def merge_configs(base: dict[str, Any], override: dict[str, Any] | None) -> dict[str, Any]:
-    """A shallow merge: the second wins."""
-    return {**base, **(override or {})}
+def merge_configs(*configs: dict[str, Any]) -> dict[str, Any]:
+    """A shallow merge of any number of settings: the last wins."""
+    return {key: value for some in configs for key, value in some.items()}

@@ -1,10 +1,11 @@
 """Edges and metrics from resolved matches."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions.smoothing import SmoothingStrategy
+from skirmish.operators.numbering import numbered
 
 
 def entity_metrics(resolved: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def merged_nodes(resolved: DataFrame, active: DataFrame | None = None) -> DataFr
 
 def index_mapping(nodes: DataFrame) -> DataFrame:
     """(id, idx): places in order of id.  For kernels only; joins use ids."""
-    return nodes.where("id IS NOT NULL").select("id").distinct().withColumn("idx", F.row_number().over(Window.orderBy("id")).cast("long") - 1)
+    return numbered(nodes.where("id IS NOT NULL").select("id").distinct(), "id")
 
 
 def pairs(resolved: DataFrame, value: str) -> DataFrame:

@@ -18,14 +18,15 @@ def competitive(matches: DataFrame) -> DataFrame:
 
 
 def weighted_matches(matches: DataFrame, now: float, decay_rate: float, beta: float = 1.0, influence: DataFrame | None = None, legacy_fill: bool = False, timestamp: str | None = None) -> DataFrame:
-    """Adds ts and weight.  ``influence`` is (event_id, strength), 1 where an event is missing.  ``legacy_fill`` (with an
-    influence only) takes missing times for the beginning of time rather than for now."""
+    """Adds ts and weight.  ``influence`` is (event_id, strength), 1 where an event is missing.  ``legacy_fill`` takes
+    missing times for the beginning of time rather than for now, as the paths of row and group edges do where events have
+    an influence (the tick-tock engine's always have)."""
     df = competitive(matches)
-    if timestamp:
-        ts = F.coalesce(times.epoch(df, timestamp), F.lit(float(now)))
+    if legacy_fill:
+        df = df.withColumns({c: F.coalesce(times.epoch(df, c), F.lit(1.0)) for c in {"completed_at", "created_at", timestamp} if c in df.columns})
+    if timestamp and timestamp in df.columns:
+        ts = times.epoch(df, timestamp)
     else:
-        if legacy_fill and influence is not None:
-            df = df.withColumns({c: F.coalesce(times.epoch(df, c), F.lit(1.0)) for c in ("completed_at", "created_at") if c in df.columns})
         ts = times.event_ts(df, now, ("completed_at", "created_at"))
     df = df.withColumn("ts", ts)
     if influence is not None:

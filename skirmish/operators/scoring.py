@@ -1,9 +1,11 @@
 """Scores and ranks from the two PageRanks."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skirmish.operators.numbering import numbered
+
 
 def resolve_lambda(pr: DataFrame, mode: str = "auto", fixed: float | None = None, fallback: float | None = None) -> float:
     """From win_pr and teleport: 0.025 of the ratio of medians, unless fixed."""
@@ -38,10 +40,9 @@ def last_activity(ts: Column, now: float) -> Column:
 
 
 def ranked(df: DataFrame, min_exposure: float | None = None) -> DataFrame:
-    """player_rank by score, ties by id.  The window needs one task, so it only sees ids and scores."""
+    """player_rank by score, ties by id."""
     kept = df.where(F.col("exposure") >= min_exposure) if min_exposure is not None else df
-    places = kept.select("entity_id", F.row_number().over(Window.orderBy(F.desc("score"), "entity_id")).cast("long").alias("player_rank"))
-    return kept.join(places, "entity_id").select("player_rank", *kept.columns)
+    return numbered(kept, F.desc("score"), F.col("entity_id")).select((F.col("idx") + 1).alias("player_rank"), *kept.columns)
 
 
 def top_n(df: DataFrame, n: int) -> DataFrame:

@@ -14,10 +14,10 @@ from skirmish.functions import teleport
 from skirmish.functions import time as times
 from skirmish.operators import connectivity, graph, influence, resolve, scoring
 from skirmish.operators.pagerank import pagerank
+from skirmish.plans import loo
 from skirmish.session import cut
-from skirmish.sources.schema import prepare_rank_inputs
+from skirmish.sources.schema import prepared
 
-RANKING = "player_rank long, entity_id long, score double, win_pr double, loss_pr double, exposure double"
 POLICIES = ("keep_largest", "allow", "error")
 
 
@@ -40,11 +40,11 @@ class TickTockEngine:
 
     def rank_entities(self, matches: DataFrame, participants: DataFrame, appearances: DataFrame | None = None, tournament_influence: DataFrame | None = None) -> DataFrame:
         """(entity_id, score)"""
-        prepare_rank_inputs(matches, participants, appearances)
+        matches, participants, appearances = prepared(matches, participants, appearances)
         c, now = self.config, self.clock.now
         matches, participants = cut(matches), cut(participants)  # read many times below
         # a match's weight is its age's times its event's strength, so pairs are summed per event once
-        base = resolve.weighted_matches(matches, now, c.decay.decay_rate, beta=0)
+        base = resolve.weighted_matches(matches, now, c.decay.decay_rate, beta=0, legacy_fill=True)
         resolved = resolve.resolve(base, participants, appearances, share=False)
         pairs = cut(graph.event_row_edges(resolved))
         members = cut(resolved.select("event_id", F.explode(F.concat("winners", "losers")).alias("id")).where("id IS NOT NULL").distinct())
@@ -91,7 +91,7 @@ class ExposureLogOddsEngine:
             nonlocal last
             timings[stage], last = time.perf_counter() - last, time.perf_counter()
 
-        prepare_rank_inputs(matches, participants, appearances)
+        matches, participants, appearances = prepared(matches, participants, appearances)
         c, now = self.config, self.clock.now
         matches, participants = cut(matches), cut(participants)  # read many times below
         done("input_normalization")
@@ -136,12 +136,27 @@ class ExposureLogOddsEngine:
         self.last_stage_timings = timings | {"total": time.perf_counter() - began}
         return result
 
-    def analyze_entity_matches(self, entity_id: int, limit: int | None = None, variant: str = "exact_combined") -> DataFrame:
-        """What each match of an entity did to its score, by leaving it out."""
-        from skirmish.plans import loo
-
+    def prepare_loo_analyzer(self, force_rebuild: bool = False) -> loo.Graphs:
+        """The graphs of the last ranking, kept until the next one or until a rebuild is asked for."""
         if not self.state:
             raise ValueError("rank_entities must be called first")
+        if force_rebuild or "graphs" not in self.state:
+            self.state["graphs"] = loo.graphs(self.state)
+        return self.state["graphs"]
+
+    def analyze_match_impact(self, match_id: int, entity_id: int, variant: str = "exact_combined") -> dict:
+        """What one match did to an entity's score; zeros if the entity wasn't in it."""
+        self.prepare_loo_analyzer()
+        found = loo.entity_matches(self.state, entity_id, None, variant, match_id).collect()
+        if found:
+            return found[0].asDict()
+        score = self.state["scores"].where(F.col("entity_id") == entity_id).select("score").first()
+        actual = score[0] if score else 0.0
+        return {"match_id": match_id, "is_win": None, "old_score": actual, "new_score": actual} | dict.fromkeys(("score_delta", "abs_delta", "win_pr_delta", "loss_pr_delta"), 0.0)
+
+    def analyze_entity_matches(self, entity_id: int, limit: int | None = None, variant: str = "exact_combined") -> DataFrame:
+        """What each match of an entity did to its score, by leaving it out."""
+        self.prepare_loo_analyzer()
         return loo.entity_matches(self.state, entity_id, limit, variant)
 
 
@@ -179,7 +194,7 @@ class RowPageRankBackend:
         self.pagerank, self.decay, self.beta = pagerank or PageRankConfig(), decay or DecayConfig(), beta
 
     def compute(self, matches: DataFrame, participants: DataFrame, influence: DataFrame | None, now: float) -> DataFrame:
-        resolved = resolve.resolve(resolve.weighted_matches(matches, now, self.decay.decay_rate, self.beta, influence, legacy_fill=True), participants, share=False)
+        resolved = resolve.resolve(resolve.weighted_matches(matches, now, self.decay.decay_rate, self.beta, influence, legacy_fill=influence is not None), participants, share=False)
         flows = cut(graph.row_edges(resolved)).select(F.lit("row").alias("graph"), F.col("loser_id").alias("src"), F.col("winner_id").alias("dst"), F.col("weight_sum").alias("w"))
         active = participants.select(F.col("entity_id").alias("id")).where("id IS NOT NULL").distinct()
         nodes = graph.merged_nodes(resolved, active).select(F.col("id").alias("node"))
@@ -198,7 +213,7 @@ class TTLEngine:
     def rank_entities(self, matches: DataFrame, participants: DataFrame, appearances: DataFrame | None = None) -> DataFrame:
         """entity_id, score, active and what the backend adds.  Match counts are taken for one and last activity for now,
         so min_exposure above one leaves nothing and inactivity doesn't age."""
-        prepare_rank_inputs(matches, participants, appearances)
+        matches, participants, appearances = prepared(matches, participants, appearances)
         c, now = self.config, self.clock.now
         matches, participants = cut(matches), cut(participants)  # read many times below
         members = participants.select("event_id", F.col("entity_id").alias("id")).where("id IS NOT NULL").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skirmish.operators import connectivity, graph, resolve
 from skirmish.session import cut
-from skirmish.sources.schema import prepare_rank_inputs
+from skirmish.sources.schema import prepared
 
 PASS, WARN, FAIL = "pass", "warn", "fail"
 
@@ -46,7 +46,7 @@ def side_coverage(matches: DataFrame, appearances: DataFrame) -> float:
 
 
 def assess_dataset_fit(matches: DataFrame, participants: DataFrame, appearances: DataFrame | None = None) -> FitReport:
-    prepare_rank_inputs(matches, participants, appearances)
+    matches, participants, appearances = prepared(matches, participants, appearances)
     played = cut(resolve.competitive(matches))
     sizes = resolve.rosters(participants).agg(F.count("*").alias("n"), F.max("size").alias("most"), F.avg("size").alias("mean")).first()
     twice = resolve.several_groups(participants)

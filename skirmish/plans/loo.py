@@ -9,6 +9,8 @@ from skirmish.operators.pagerank import fixed_point, neumann
 
 #: Pair edges up to which the graph is handed to tasks as arrays.
 MOST_EDGES = 20_000_000
+#: Flux below which a match is taken to have no effect.
+LEAST_FLUX = 1e-12
 VARIANTS = {"exact_combined": 0, "exact_separate": 0, "exact_combined_numba": 0, "perturb_2": 2, "perturb_4": 4}
 RESULT = "match_id long, is_win boolean, old_score double, new_score double, score_delta double, abs_delta double, win_pr_delta double, loss_pr_delta double"
 
@@ -20,7 +22,7 @@ def match_members(resolved: DataFrame) -> DataFrame:
 
 
 def match_flux(state: dict, entity_id: int) -> DataFrame:
-    """(match_id, is_win, flux): rank that flows over the entity's edges of a match, to first order."""
+    """(event_id, match_id, is_win, flux): rank that flows over the entity's edges of a match, to first order."""
     members, pr = match_members(state["resolved"]), state["pr"]
     mine = members.where(F.col("entity_id") == entity_id).select("event_id", "match_id", "is_win").distinct()
     others = members.join(mine.withColumnRenamed("is_win", "won"), ["event_id", "match_id"]).where("is_win <> won")
@@ -32,7 +34,7 @@ def match_flux(state: dict, entity_id: int) -> DataFrame:
     part = lambda rank, total: F.when(F.coalesce(total, F.lit(0.0)) > 0, F.col("share") * rank / total).otherwise(0.0)
     won = part(F.col("win_pr"), F.col("lost")) + part(F.col("my_loss"), F.col("my_won"))
     lost = part(F.col("my_win"), F.col("my_lost")) + part(F.col("loss_pr"), F.col("won_share"))
-    return each.groupBy("match_id", F.col("won").alias("is_win")).agg(F.sum(F.when(F.col("won"), won).otherwise(lost)).alias("flux"))
+    return each.groupBy("event_id", "match_id", F.col("won").alias("is_win")).agg(F.sum(F.when(F.col("won"), won).otherwise(lost)).alias("flux"))
 
 
 class Graphs:
@@ -97,14 +99,17 @@ def graphs(state: dict) -> Graphs:
     return Graphs(ids, pr["teleport"].to_numpy(), {"win": pr["win_pr"].to_numpy(), "loss": pr["loss_pr"].to_numpy()}, place("winner_id"), place("loser_id"), e["share"].to_numpy(), max(total, 1e-12), state["alpha"], state["lambda"])
 
 
-def entity_matches(state: dict, entity_id: int, limit: int | None = None, variant: str = "exact_combined") -> DataFrame:
-    """One row per match of the entity (the ``limit`` with most flux), largest effect first."""
+def entity_matches(state: dict, entity_id: int, limit: int | None = None, variant: str = "exact_combined", match_id: int | None = None) -> DataFrame:
+    """One row per match of the entity (the ``limit`` with most flux, or the one asked for), largest effect first.  A match
+    over which next to nothing flows has an effect of zero."""
     if variant not in VARIANTS:
         raise ValueError(f"Unknown variant: {variant}")
-    g, steps = graphs(state), VARIANTS[variant]
-    flux = match_flux(state, entity_id).where("flux >= 1e-12")
-    chosen = flux.orderBy(F.desc("flux"), "match_id").limit(limit) if limit else flux
-    rows = state["resolved"].select("match_id", "winners", "losers", "share").join(chosen.select("match_id", "is_win"), "match_id")
+    g, steps = state.get("graphs") or graphs(state), VARIANTS[variant]
+    flux = match_flux(state, entity_id)
+    if match_id is not None:
+        flux = flux.where(F.col("match_id") == match_id)
+    chosen = flux.orderBy(F.desc("flux"), "match_id", "event_id").limit(limit) if limit else flux
+    rows = state["resolved"].select("event_id", "match_id", "winners", "losers", "share").join(chosen, ["event_id", "match_id"])
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(g)
     actual = state["scores"].where(F.col("entity_id") == entity_id).select("score").first()
@@ -118,7 +123,10 @@ def entity_matches(state: dict, entity_id: int, limit: int | None = None, varian
         before = g.score(g.ranks["win"], g.ranks["loss"], g.rho)[me]
         for batch in batches:
             out = []
-            for m, won, w, lo, share in zip(batch["match_id"], batch["is_win"], batch["winners"], batch["losers"], batch["share"], strict=True):
+            for m, won, w, lo, share, flux in zip(batch["match_id"], batch["is_win"], batch["winners"], batch["losers"], batch["share"], batch["flux"], strict=True):
+                if flux < LEAST_FLUX:
+                    out.append((m, won, actual, actual, 0.0, 0.0, 0.0, 0.0))
+                    continue
                 place = lambda x: np.searchsorted(g.ids, np.array([i for i in x if i is not None], dtype=g.ids.dtype))
                 win, loss, rho = g.without(place(w), place(lo), share, steps)
                 delta = g.score(win, loss, rho)[me] - before
@@ -126,3 +134,20 @@ def entity_matches(state: dict, entity_id: int, limit: int | None = None, varian
             yield pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     return rows.repartition("match_id").mapInPandas(run, RESULT).orderBy(F.desc("abs_delta"), "match_id")
+
+
+def compare_variants(baseline: DataFrame, candidate: DataFrame) -> dict:
+    """How well one variant's effects agree with another's: overlap of the matches listed, rank correlation, mean error."""
+    sizes = [df.count() for df in (baseline, candidate)]
+    out = {"baseline_rows": sizes[0], "candidate_rows": sizes[1], "top_overlap": None, "shared_match_count": 0, "score_delta_spearman": None, "score_delta_mae": None}
+    if not all(sizes):
+        return out
+    listed = [df.orderBy(F.desc("abs_delta"), "match_id").limit(min(sizes)).select("match_id") for df in (baseline, candidate)]
+    both = candidate.select("match_id", "score_delta").join(baseline.select("match_id", F.col("score_delta").alias("of")), "match_id")
+    for c in ("score_delta", "of"):  # equal values share the mean of their places, from counts of the values below
+        counts = both.groupBy(c).agg(F.count("*").alias("n"))
+        below = counts.alias("x").join(counts.withColumnsRenamed({c: "less", "n": "m"}), F.col("less") < F.col(c), "left").groupBy(c, "n").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"))
+        both = both.join(below.select(c, (F.col("m") + (F.col("n") + 1) / 2).alias(f"place_{c}")), c)
+    got = both.agg(F.count("*").alias("n"), F.corr("place_score_delta", "place_of").alias("r"), F.avg(F.abs(F.col("score_delta") - F.col("of"))).alias("e")).first()
+    rho = got["r"] if got["n"] >= 2 and got["r"] is not None and got["r"] == got["r"] else None
+    return out | {"top_overlap": listed[0].join(listed[1].distinct(), "match_id", "left_semi").distinct().count() / min(sizes), "shared_match_count": got["n"], "score_delta_spearman": rho, "score_delta_mae": got["e"]}

@@ -12,9 +12,10 @@ from skirmish.functions import smoothing, teleport
 from skirmish.functions import time as times
 from skirmish.operators import connectivity, graph, influence, resolve, scoring
 from skirmish.operators.pagerank import pagerank
-from skirmish.plans import engines, fit, loo
+from skirmish.plans import engines, fit, inputs, loo
+from skirmish.plans.results import RankResult
 from skirmish.session import cut
-from skirmish.sources.schema import RankInputs
+from skirmish.sources.schema import RankInputs, prepared
 from skirmish.sources.tables import HALF_LIFE, NOW, competition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,9 +56,9 @@ def _sql(body: str, recursive: str = "") -> str:
 
 def data(spark: SparkSession, sf_dir: str) -> tuple[RankInputs, DataFrame, DataFrame]:
     """Inputs, weighted and resolved matches."""
-    inputs = competition(spark, sf_dir)
-    weighted = resolve.weighted_matches(inputs.matches, NOW, RATE)
-    return inputs, weighted, resolve.resolve(weighted, inputs.participants, inputs.appearances, check=False)
+    tables = competition(spark, sf_dir)
+    weighted = resolve.weighted_matches(tables.matches, NOW, RATE)
+    return tables, weighted, resolve.resolve(weighted, tables.participants, tables.appearances, check=False)
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -172,10 +173,10 @@ def _(i, w, r):  # noqa: ANN001, ANN202
     return rounded(teleport.from_share(nodes(r), graph.entity_metrics(r)), "t", digits=9)
 
 
-def _rank_sql(src: str, dst: str, edges: str, weight: str, name: str = "k") -> str:
-    """STEPS power steps as nested tables."""
+def _rank_sql(src: str, dst: str, edges: str, weight: str, name: str = "k", steps: int = STEPS) -> str:
+    """Power steps as nested tables."""
     out = [f"{name}f AS (SELECT {src} AS src, {dst} AS dst, {weight} / sum({weight}) OVER (PARTITION BY {src}) AS p FROM {edges})", f"{name}0 AS (SELECT node, t AS x FROM rho)"]
-    for s in range(STEPS):
+    for s in range(steps):
         out.append(f"{name}{s}u AS (SELECT rho.node, 0.85 * coalesce(f, 0) + 0.15 * t + 0.85 * t * (SELECT coalesce(sum(x), 0) FROM {name}{s} WHERE node NOT IN (SELECT src FROM {name}f)) AS y FROM rho LEFT JOIN (SELECT dst AS node, sum(p * x) AS f FROM {name}f JOIN {name}{s} ON node = src GROUP BY dst) USING (node))")
         out.append(f"{name}{s + 1} AS MATERIALIZED (SELECT node, y / sum(y) OVER () AS x FROM {name}{s}u)")
     return ", ".join(out)
@@ -225,35 +226,15 @@ def _(i, w, r):  # noqa: ANN001, ANN202
     return rounded(scoring.top_n(scores(r).withColumnRenamed("id", "entity_id"), 25), "score")
 
 
-EARLY = "event_id % 100 < 3 AND match_id % 5 = 0"
-CC = f"ce AS (SELECT DISTINCT w AS a, l AS b FROM rs, unnest(winners) t(w), unnest(losers) u(l) WHERE {EARLY}), cb AS (SELECT a, b FROM ce UNION SELECT b, a FROM ce), cc(n, c) USING KEY (n) AS (SELECT a, least(a, min(b)) FROM cb GROUP BY a UNION SELECT k.n, min(o.c) FROM recurring.cc k JOIN cb ON cb.a = k.n JOIN cc o ON o.n = cb.b WHERE o.c < k.c GROUP BY k.n)"
-
-
-def _early(r: DataFrame) -> DataFrame:
-    return cut(r.where(EARLY))
+CC = "ce AS (SELECT DISTINCT w AS a, l AS b FROM rs, unnest(winners) t(w), unnest(losers) u(l)), cb AS (SELECT a, b FROM ce UNION SELECT b, a FROM ce), cc(n, c) USING KEY (n) AS (SELECT a, least(a, min(b)) FROM cb GROUP BY a UNION SELECT k.n, min(o.c) FROM recurring.cc k JOIN cb ON cb.a = k.n JOIN cc o ON o.n = cb.b WHERE o.c < k.c GROUP BY k.n)"
 
 
 @query("connected_components", _sql("SELECT n AS id, c AS component FROM cc", CC))
-def _(i, w, r):  # noqa: ANN001, ANN202
-    return connectivity.components(graph.pair_edges(_early(r)))
-
-
-@query("component_summary", _sql(f"SELECT c AS component, count(*) AS nodes, round(sum(s), 6) AS share, round(sum(wt), 6) AS weight FROM cc JOIN (SELECT id AS n, sum(share) AS s, sum(weight) AS wt FROM mem WHERE {EARLY} GROUP BY id) USING (n) GROUP BY c", CC))
-def _(i, w, r):  # noqa: ANN001, ANN202
-    early = _early(r)
-    return rounded(connectivity.summary(connectivity.components(graph.pair_edges(early)), graph.entity_metrics(early)), "share", "weight")
-
-
-#: The same two over all matches.
-WHOLE = CC.replace(f" WHERE {EARLY}", "")
-
-
-@query("connected_components_whole", _sql("SELECT n AS id, c AS component FROM cc", WHOLE))
 def _(i, w, r):  # noqa: ANN001, ANN202
     return connectivity.components(graph.pair_edges(cut(r)))
 
 
-@query("component_summary_whole", _sql("SELECT c AS component, count(*) AS nodes, round(sum(s), 6) AS share, round(sum(wt), 6) AS weight FROM cc JOIN (SELECT id AS n, sum(share) AS s, sum(weight) AS wt FROM mem GROUP BY id) USING (n) GROUP BY c", WHOLE))
+@query("component_summary", _sql("SELECT c AS component, count(*) AS nodes, round(sum(s), 6) AS share, round(sum(wt), 6) AS weight FROM cc JOIN (SELECT id AS n, sum(share) AS s, sum(weight) AS wt FROM mem GROUP BY id) USING (n) GROUP BY c", CC))
 def _(i, w, r):  # noqa: ANN001, ANN202
     whole = cut(r)
     return rounded(connectivity.summary(connectivity.components(graph.pair_edges(whole)), graph.entity_metrics(whole)), "share", "weight")
@@ -332,6 +313,18 @@ def _(i, w, r):  # noqa: ANN001, ANN202
     return engines.ExposureLogOddsEngine(config, NOW).rank_entities(i.matches, i.participants, i.appearances)
 
 
+#: Steps after which nothing moves by more than rounding.
+MANY = 80
+CONVERGED = f"{_rank_sql('loser_id', 'winner_id', 'pe', 'share', 'w', MANY)}, {_rank_sql('winner_id', 'loser_id', 'pe', 'share', 'v', MANY)}, {PR.replace(f'w{STEPS}', f'w{MANY}').replace(f'v{STEPS}', f'v{MANY}')}, ag AS (SELECT node, win_pr, loss_pr, weight, ln((win_pr + l * t) / (loss_pr + l * t)) * exp(-0.01 * greatest(0, ({NOW} - ts) / 86400.0 - 30)) AS score FROM pr JOIN em ON id = node, la)"
+
+
+@query("rank_entities_converged", _sql("SELECT row_number() OVER (ORDER BY score DESC, node) AS player_rank, node AS entity_id, round(score, 6) AS score, round(win_pr, 9) AS win_pr, round(loss_pr, 9) AS loss_pr, round(weight, 6) AS exposure FROM ag", CONVERGED))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    config = ExposureLogOddsConfig(decay=DecayConfig(HALF_LIFE), use_tick_tock_active=False, pagerank=PageRankConfig(tol=1e-14, max_iter=MANY))
+    out = engines.ExposureLogOddsEngine(config, NOW).rank_entities(i.matches, i.participants, i.appearances, component_policy="allow")
+    return rounded(rounded(out, "score", "exposure"), "win_pr", "loss_pr", digits=9)
+
+
 @query("rank_entities_plain")
 def _(i, w, r):  # noqa: ANN001, ANN202
     config = ExposureLogOddsConfig(decay=DecayConfig(HALF_LIFE), use_tick_tock_active=False)
@@ -364,7 +357,15 @@ query("loo_exact")(lambda i, w, r: _loo(i, "exact_combined"))
 query("loo_neumann")(lambda i, w, r: _loo(i, "perturb_4"))
 
 
-@query("loo_flux_topk")
+FLUX = f"""{WIN}, {LOSS}, {PR},
+side AS (SELECT event_id, match_id, share, unnest(winners) AS id, true AS won FROM rs UNION ALL SELECT event_id, match_id, share, unnest(losers), false FROM rs),
+bu AS (SELECT id FROM em ORDER BY weight DESC, id LIMIT 1),
+ko AS (SELECT pr.node, win_pr, loss_pr, lost, won FROM pr LEFT JOIN (SELECT loser_id AS node, sum(share) AS lost FROM pe GROUP BY ALL) USING (node) LEFT JOIN (SELECT winner_id AS node, sum(share) AS won FROM pe GROUP BY ALL) USING (node)),
+fx AS (SELECT me.event_id, me.match_id, me.won AS is_win, sum(CASE WHEN me.won THEN coalesce(o.share * ko.win_pr / ko.lost, 0) + coalesce(o.share * k.loss_pr / k.won, 0) ELSE coalesce(o.share * k.win_pr / k.lost, 0) + coalesce(o.share * ko.loss_pr / ko.won, 0) END) AS flux
+FROM side me JOIN bu ON me.id = bu.id JOIN side o ON o.event_id = me.event_id AND o.match_id = me.match_id AND o.won <> me.won JOIN ko ON ko.node = o.id JOIN ko k ON k.node = bu.id GROUP BY ALL)"""
+
+
+@query("loo_flux_topk", _sql("SELECT event_id, match_id, is_win, round(flux, 9) AS flux FROM fx ORDER BY fx.flux DESC, match_id LIMIT 20", FLUX))
 def _(i, w, r):  # noqa: ANN001, ANN202
     resolved = cut(r)
     state = {"resolved": resolved, "edges": cut(graph.pair_edges(resolved)), "pr": cut(_fixed(resolved))}
@@ -375,3 +376,91 @@ def _(i, w, r):  # noqa: ANN001, ANN202
 @query("fit_report")
 def _(i, w, r):  # noqa: ANN001, ANN202
     return fit.assess_dataset_fit(i.matches, i.participants, i.appearances).to_dataframe(r.sparkSession)
+
+
+#: Matches with missing times, byes and missing sides, and an influence of events, by rules that SQL has too.
+ODD = f"odd AS (SELECT event_id, match_id, CASE WHEN match_id % 13 <> 0 THEN winner_id END AS winner_id, loser_id, CASE WHEN match_id % 7 <> 0 THEN completed_at END AS completed_at, CASE WHEN match_id % 5 = 0 THEN NULL ELSE match_id % 11 = 0 END AS walkover FROM m), kept AS (SELECT * FROM odd WHERE winner_id IS NOT NULL AND NOT coalesce(walkover, false)), st AS (SELECT DISTINCT event_id, 1.0 + event_id % 3 AS strength FROM m WHERE event_id % 4 <> 0)"
+
+
+def odd_matches(i: RankInputs) -> tuple[DataFrame, DataFrame]:
+    rule = lambda test, c: F.when(F.expr(test), F.col(c)).alias(c)
+    bye = F.when(F.expr("match_id % 5 <> 0"), F.expr("match_id % 11 = 0")).alias("walkover")
+    odd = i.matches.select("event_id", "match_id", rule("match_id % 13 <> 0", "winner_id"), "loser_id", rule("match_id % 7 <> 0", "completed_at"), bye)
+    strength = i.matches.where("event_id % 4 <> 0").select("event_id", F.expr("1.0D + event_id % 3").alias("strength")).distinct()
+    return odd, strength
+
+
+@query("competitive_matches", _sql("SELECT event_id, match_id, winner_id, loser_id FROM kept", ODD))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return resolve.competitive(odd_matches(i)[0]).select("event_id", "match_id", "winner_id", "loser_id")
+
+
+for _name, _fill in {"now": f"{NOW}", "beginning": "1.0"}.items():
+    query(f"weighted_missing_times_{_name}", _sql(f"SELECT match_id, coalesce(completed_at, {_fill}) AS ts, round(exp(-{RATE!r} * ({NOW} - coalesce(completed_at, {_fill})) / 86400.0) * sqrt(coalesce(strength, 1)), 6) AS weight FROM kept LEFT JOIN st USING (event_id)", ODD))(lambda i, w, r, n=_name: rounded(resolve.weighted_matches(odd_matches(i)[0], NOW, RATE, 0.5, odd_matches(i)[1], legacy_fill=n == "beginning").select("match_id", "ts", "weight"), "weight"))
+
+
+@query("team_edges_public", _sql(f"SELECT loser_id, winner_id, round(sum(exp(-{RATE!r} * ({NOW} - coalesce(completed_at, 1.0)) / 86400.0) * coalesce(strength, 1)), 6) AS weight_sum FROM kept LEFT JOIN st USING (event_id) GROUP BY ALL", ODD))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    odd, strength = odd_matches(i)
+    return rounded(inputs.team_edges(odd, strength, NOW, RATE, 1.0), "weight_sum")
+
+
+@query("player_edges_public", _sql(f"SELECT l.entity_id AS loser_id, w.entity_id AS winner_id, round(sum(exp(-{RATE!r} * ({NOW} - coalesce(completed_at, {NOW})) / 86400.0)), 6) AS weight_sum FROM odd k JOIN pa w ON w.event_id = k.event_id AND w.group_id = k.winner_id JOIN pa l ON l.event_id = k.event_id AND l.group_id = k.loser_id WHERE NOT coalesce(walkover, false) GROUP BY ALL", ODD))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return rounded(inputs.player_edges(odd_matches(i)[0], i.participants, None, NOW, RATE), "weight_sum")
+
+
+@query("converted_matches", _sql("SELECT match_id, winner_count, loser_count, round(share, 6) AS share FROM rs"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return rounded(inputs.convert_matches(i.matches, i.participants, None, NOW, RATE, appearances=i.appearances).select("match_id", "winner_count", "loser_count", "share"), "share")
+
+
+@query("node_mapping_lists", _sql("SELECT node AS id, row_number() OVER (ORDER BY node) - 1 AS idx FROM nd"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return inputs.node_mapping(r)
+
+
+@query("node_mapping_columns", _sql("SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM (SELECT winner_id AS id FROM m UNION SELECT loser_id FROM m)"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return inputs.node_mapping(i.matches, "winner_id", "loser_id")
+
+
+@query("factorized_ids", _sql("SELECT winner_id AS id, row_number() OVER (ORDER BY min(match_id)) - 1 AS idx FROM m GROUP BY winner_id"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return inputs.factorized(i.matches, "winner_id", "match_id")
+
+
+@query("older_names", _sql("SELECT event_id AS tournament_id, match_id, winner_id AS winner_team_id, loser_id AS loser_team_id, completed_at AS last_game_finished_at FROM m"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return prepared(*i, older=True).matches
+
+
+@query("roster_members", _sql("SELECT event_id, group_id, array_to_string(list(entity_id ORDER BY entity_id), ' ') AS members FROM pa GROUP BY ALL"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return resolve.rosters(i.participants).select("event_id", "group_id", F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"))
+
+
+@query("appearance_members", _sql("SELECT event_id, match_id, group_id, array_to_string(list(entity_id ORDER BY entity_id), ' ') AS members FROM ap GROUP BY ALL"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return resolve.appearance_groups(i.appearances, i.participants).select("event_id", "match_id", "group_id", F.array_join(F.transform(F.array_sort("members"), lambda x: x.cast("string")), " ").alias("members"))
+
+
+@query("event_members", _sql("SELECT event_id, array_to_string(list(id ORDER BY id), ' ') AS members FROM mb GROUP BY ALL"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return resolve.participants_by_event(r).select("event_id", F.array_join(F.transform(F.array_sort("members"), lambda x: x.cast("string")), " ").alias("members"))
+
+
+@query("half_life", _sql(f"SELECT match_id, round(pow(0.5, ({NOW} - ts) / 86400.0 / 90), 9) AS factor FROM wm"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return rounded(w.select("match_id", times.half_life_decay((F.lit(NOW) - F.col("ts")) / 86400.0, 90).alias("factor")), "factor", digits=9)
+
+
+@query("ranked_scores", _sql("SELECT row_number() OVER (ORDER BY score DESC, id) AS player_rank, id AS entity_id, round(score, 6) AS score FROM sc JOIN em USING (id) WHERE em.weight >= 0.01"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    each = graph.entity_metrics(r).select(F.col("id").alias("entity_id"), (F.col("weight") / (1 + F.col("share"))).alias("score"), F.col("weight").alias("exposure"))
+    return rounded(scoring.ranked(each, 0.01), "score").drop("exposure")
+
+
+@query("result_table", _sql("SELECT id AS node, round(score, 6) AS value FROM sc"))
+def _(i, w, r):  # noqa: ANN001, ANN202
+    return rounded(RankResult(scores(r).withColumnRenamed("id", "entity_id")).to_dataframe("node", "value"), "value")

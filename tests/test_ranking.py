@@ -11,7 +11,7 @@ from skirmish.functions import time as times
 from skirmish.operators import connectivity, graph, resolve
 from skirmish.operators.pagerank import by_joins, power_iteration
 from skirmish.plans import engines, fit, queries
-from skirmish.sources.schema import prepare_matches
+from skirmish.sources.schema import prepare, prepared
 
 MATCH = "event_id long, match_id long, winner_id long, loser_id long, completed_at double"
 MEMBER = "event_id long, group_id long, entity_id long"
@@ -27,7 +27,7 @@ def two(spark):
 
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="missing required columns: match_id, loser_id"):
-        prepare_matches(spark.createDataFrame([(1, 2)], "event_id long, winner_id long"))
+        prepare("matches", spark.createDataFrame([(1, 2)], "event_id long, winner_id long"))
 
 
 def test_component_report(two):
