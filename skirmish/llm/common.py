@@ -67,9 +67,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Shuffle partitions in one file, for tables of a few ids a row: these are a hundredth of the texts that partitions are for.
+NARROW = 8
+
+
+def stored(df: DataFrame, name: str, together: int = 1) -> DataFrame:
     """Writes df as a table into the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    if together > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // together))
     df.write.parquet(path := fresh_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import U, among, chunks, mapped, mix, signed, stored, table, text_bytes, words
+from skirmish.llm.common import NARROW, U, among, chunks, mapped, mix, signed, stored, table, text_bytes, words
 from skirmish.llm.components import components
 
 K = 64
@@ -247,7 +247,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Of (a, b, x, y, least) those whose x and y can be as similar."""
-        pairs = stored(pairs, "pairs")
+        pairs = stored(pairs, "pairs", NARROW)
         asked = among(classes.select("doc", "n", "sketch"), "doc", pairs.select("x").union(pairs.select("y")), 2 * pairs.count())
         side = lambda c, s: asked.select(F.col("doc").alias(c), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}"))
         return mapped(pairs.join(side("y", "b"), "y").join(side("x", "a"), "x"), _likely, "a long, b long, x long, y long, least double")
@@ -268,20 +268,20 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     named = components(first).withColumnsRenamed({"node": "doc", "component": "one"})
     star = first.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("star"))
     stars = classes.select("doc").join(star, "doc", "left").join(named, "doc", "left").select("doc", F.coalesce("star", "doc").alias("star"), F.coalesce("one", "doc").alias("one"))
-    stars = stored(stars, "stars")
-    large = stored(stars.where("star <> doc").select("star").distinct(), "large")
+    stars = stored(stars, "stars", NARROW)
+    large = stored(stars.where("star <> doc").select("star").distinct(), "large", NARROW)
     members = stars.where("star <> doc").select("star", "doc").union(large.select("star", F.col("star").alias("doc")))
 
     def crossed(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Candidates of the lists (key, doc) of several components, and the keys of those that are too long."""
-        of = stored(lists.join(stars, "doc").select("key", "star", "one").distinct(), "crossed")
-        sizes = stored(of.groupBy("key").agg(F.count("*").alias("many"), F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo < hi").select("key", "many"), "sizes")
+        of = stored(lists.join(stars, "doc").select("key", "star", "one").distinct(), "crossed", NARROW)
+        sizes = stored(of.groupBy("key").agg(F.count("*").alias("many"), F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo < hi").select("key", "many"), "sizes", NARROW)
         short = of.join(sizes.where(F.col("many") <= HOT).select("key"), "key")
         two = short.withColumnsRenamed({"star": "a", "one": "ca"}).join(short.withColumnsRenamed({"star": "b", "one": "cb"}), "key").where("a < b AND ca <> cb").select("a", "b").distinct()
         marked = two
         for s in ("a", "b"):
             marked = marked.join(large.select(F.col("star").alias(s), F.lit(1).alias(f"m{s}")), s, "left")
-        marked = stored(marked.select("a", "b", (F.col("ma").isNotNull() | F.col("mb").isNotNull()).alias("some")), "starred")
+        marked = stored(marked.select("a", "b", (F.col("ma").isNotNull() | F.col("mb").isNotNull()).alias("some")), "starred", NARROW)
         out = marked.where("NOT some").select("a", "b")
         if not (some := marked.where("some").select("a", "b")).isEmpty():
             near = stored(likely(some.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(max(0.0, 3 * alike - 2)).alias("least"))).select("a", "b"), "near")
