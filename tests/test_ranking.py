@@ -120,9 +120,9 @@ def test_components_of_all_matches(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     orders = spark.createDataFrame([(i,) for i in (1, 2, 3)], "o_orderkey long").withColumn("o_orderdate", F.to_timestamp_ntz(F.lit("2001-07-05 00:00:00")))
     orders.write.parquet(f"{tmp_path}/orders.parquet")
-    got = queries.QUERIES["connected_components_whole"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["connected_components"](spark, str(tmp_path)).collect()
     assert {r["id"]: r["component"] for r in got} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
-    got = queries.QUERIES["component_summary_whole"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["component_summary"](spark, str(tmp_path)).collect()
     assert {r["component"]: r["nodes"] for r in got} == {1: 3, 7: 2}
 
 
