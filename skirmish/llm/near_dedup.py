@@ -14,10 +14,12 @@ retains the first ``K`` of its set (its sketch), a random sample of the set, wha
 3. Stars: in each list every class is paired with the smallest id, so a large group costs a few pairs per member.
 4. Lists over several components of the confirmed stars: pairs of stars, and of their members only where the triangle
    inequality of the Jaccard distance lets them be similar (0.4 between the heads, 0.6 from a member to the other head).
-5. Lists over more than ``HOT`` stars aren't paired.  Classes that lack other lists (``NEED``; of the prefix kind, any) meet in
+5. Lists whose stars meet more than ``HOT`` stars of other components on average (four times as many after each split) aren't
+   paired; lists of the same stars are paired once.  Classes that lack other lists (``NEED``; of the prefix kind, any) meet in
    lists whose key is as many values as give about ``MADE`` lists a set, and a list that is still too long is split by one
    more retained value, and so on: with every value the prefix grows by one, so nothing is lost (sets of some 20 to 40
-   values below a common bound stand for large ones, with five standard deviations to spare).
+   values below a common bound stand for large ones, with five standard deviations to spare).  The prefix takes values in
+   the order of how many of these classes retain them, rarest first, so a passage that many share is in few keys.
 6. Candidates are filtered by the estimate from the union's sketch (with five standard deviations to spare) and confirmed
    on the full sets; components of the confirmed links.
 
@@ -154,7 +156,8 @@ def sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int = 80) ->
             out[0].append(n)
             out[1].append(signed(s1))
             out[2].append(signed(s2))
-            out[3] += [value[x : min(x + K, y)].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            held = lambda m: m if m * percent <= SHORT * 100 else K
+            out[3] += [value[x : min(x + held(y - x), y)].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             out[4] += np.split(signed(keys[order]), ends[:-1])
         if batch.num_rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x), pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64()))], ["doc", "n", "s1", "s2", "sketch", "keys"])
@@ -162,7 +165,7 @@ def sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int = 80) ->
 
 def estimate(x: bytes, y: bytes) -> float:
     """Share of the union's first values that both sets hold; exact if both sketches hold all of their sets."""
-    a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+    a, b = np.frombuffer(x, U)[:K], np.frombuffer(y, U)[:K]
     both = np.sort(np.concatenate([a, b]))
     twin = both[1:] == both[:-1]
     union = len(both) - int(twin.sum())
@@ -204,15 +207,15 @@ def _confirm(size: int, percent: int):  # noqa: ANN202
 
 
 def _longer(percent: int):  # noqa: ANN202
-    """(doc, n, sketch, path) to lists whose key has one more value: (key, doc, path).
+    """(doc, n, ranked, path) to lists whose key has one more value: (key, doc, path).
 
-    A path is a scheme (0: the set's first values; else the level of a sample of it) and places in ascending order."""
+    A path is a scheme (0: the whole set; else the level of a sample of it) and places in its ranked values, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, keys, paths = [], [np.empty(0, U)], []
-            for doc, n, sketch, path in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "sketch", "path")), strict=True):
-                v = np.frombuffer(sketch, U)
+            for doc, n, path, ranked in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "path")), batch.column("ranked"), strict=True):
+                v = ranked.values.to_numpy().view(U)
                 schemes = [path[0]] if path else [0] * (n * percent <= SHORT * 100) + [int(x) for x in {*map(int, _levels(np.array(n), percent))} if n >= SHORT]
                 for scheme in schemes:
                     places = path[1:] if path else b""
@@ -237,6 +240,14 @@ def _longer(percent: int):  # noqa: ANN202
     return run
 
 
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, sketch) to (doc, value)."""
+    for batch in batches:
+        held = [np.frombuffer(x, np.int64) for x in batch.column("sketch").to_pylist()]
+        doc = np.repeat(batch.column("doc").to_numpy(), [len(x) for x in held])
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate([np.empty(0, np.int64), *held]))], ["doc", "value"])
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of df: key, n_shingles, component_id, kept."""
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -272,11 +283,15 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     large = stored(stars.where("star <> doc").select("star").distinct(), "large", NARROW)
     members = stars.where("star <> doc").select("star", "doc").union(large.select("star", F.col("star").alias("doc")))
 
-    def crossed(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def crossed(lists: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
         """Candidates of the lists (key, doc) of several components, and the keys of those that are too long."""
         of = stored(lists.join(stars, "doc").select("key", "star", "one").distinct(), "crossed", NARROW)
-        sizes = stored(of.groupBy("key").agg(F.count("*").alias("many"), F.min("one").alias("lo"), F.max("one").alias("hi")).where("lo < hi").select("key", "many"), "sizes", NARROW)
-        short = of.join(sizes.where(F.col("many") <= HOT).select("key"), "key")
+        name = [F.bit_xor(F.xxhash64("star", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+        apart = of.groupBy("key", "one").agg(F.count("*").alias("c"), *name)
+        apart = apart.groupBy("key").agg(F.sum("c").alias("many"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("ones"), *(F.bit_xor(h).alias(h) for h in ("h1", "h2")))
+        sizes = stored(apart.where("ones > 1").select("key", "many", ((F.col("many") * F.col("many") - F.col("own")) / F.col("many")).alias("across"), "h1", "h2"), "sizes", NARROW)
+        # lists of the same stars give the same pairs
+        short = of.join(sizes.where(F.col("across") <= most).groupBy("h1", "h2", "many").agg(F.min("key").alias("key")).select("key"), "key")
         two = short.withColumnsRenamed({"star": "a", "one": "ca"}).join(short.withColumnsRenamed({"star": "b", "one": "cb"}), "key").where("a < b AND ca <> cb").select("a", "b").distinct()
         marked = two
         for s in ("a", "b"):
@@ -291,19 +306,25 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
                 far = of_star.select("a", "b", F.col("m").alias("x"), F.col(there).alias("y"), F.lit(max(0.0, 2 * alike - 1)).alias("least"))
                 close.append(likely(far).select("a", "b", F.col("x").alias("y" if here == "b" else "x")))
             out = out.union(close[0].join(close[1], ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        return out, sizes.where(F.col("many") > HOT).select("key")
+        return out, sizes.where(F.col("across") > most).select("key")
 
-    candidates, hot = crossed(met.select("key", "doc"))
+    candidates, hot = crossed(met.select("key", "doc"), HOT)
     bins = F.size(F.filter("keys", lambda x: x.bitwiseAND(F.lit(1)) == 0))
     lacking = met.join(hot, "key").groupBy("doc").agg(F.sum(F.expr("1 - (key & 1)")).alias("bins"), F.sum(F.expr("key & 1")).alias("pairs"))
     left = classes.select("doc", "n", "sketch", bins.alias("all")).join(lacking, "doc").where((F.col("pairs") > 0) | (F.col("bins") > 0) & (F.col("all") - F.col("bins") < NEED))
     left = stored(left.select("doc", "n", "sketch"), "left")
+    values = mapped(left.select("doc", "sketch"), _values, "doc long, value long")
+    often = values.groupBy("value").agg(F.count("*").alias("many"))
+    ranked = values.join(often, "value").groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("many", "value"))), lambda x: x["value"]).alias("ranked"))
+    left = stored(left.select("doc", "n").join(ranked, "doc"), "ranked")
     todo = left.withColumn("path", F.lit(b""))
+    most = HOT
     while not todo.isEmpty():
+        most *= 4  # a split makes some four times as many rows, so pairing may cost that much more
         longer = stored(mapped(todo, _longer(percent), "key long, doc long, path binary"), "longer")
-        found, hot = crossed(longer.select("key", "doc"))
+        found, hot = crossed(longer.select("key", "doc"), most)
         candidates = candidates.union(found)
-        todo = stored(longer.join(hot, "key").select("doc", "path").join(left, "doc").select("doc", "n", "sketch", "path"), "hot")
+        todo = stored(longer.join(hot, "key").select("doc", "path").join(left, "doc").select("doc", "n", "ranked", "path"), "hot")
     links = first.union(confirmed(candidates))
     of = rows.join(classes.select("s1", "s2", F.col("doc").alias("class")), ["s1", "s2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
     # ids on rows of different sets tie these sets together
