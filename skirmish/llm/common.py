@@ -221,8 +221,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 FILTER_BITS = 27
 
 
-def among(df: DataFrame, key: str, asked: DataFrame, most: int) -> DataFrame:
-    """df without most rows whose key (a long) isn't in the one column of ``asked`` (``most`` rows): a filter before a join.
+def asked_for(asked: DataFrame, most: int) -> Callable[[DataFrame, str], DataFrame]:
+    """A filter of tables by a key (a long): it drops most rows whose key isn't in the one column of ``asked`` (``most`` rows).
 
     The filter is a bitmap of hashed ids of at most 2 ** FILTER_BITS bits, whatever the number of ids; beyond some tens of
     millions of ids it lets more and more other rows through, which the join that follows drops."""
@@ -232,11 +232,16 @@ def among(df: DataFrame, key: str, asked: DataFrame, most: int) -> DataFrame:
     got = ids.select(place("_id").alias("p")).select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, int(p % 64)) AS b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     words = np.zeros(1 << (bits - 6), np.int64)
     words[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast(words.tobytes())
+    shared = asked.sparkSession.sparkContext.broadcast(words.tobytes())
 
     @F.pandas_udf("boolean")
     def held(p: pd.Series) -> pd.Series:
         table, at = np.frombuffer(shared.value, np.uint64), p.to_numpy(np.int64)
         return pd.Series((table[at >> 6] >> (at & 63).astype(U) & U(1)).astype(bool))
 
-    return df.where(F.col(key).isNotNull()).where(held(place(key)))
+    return lambda df, key: df.where(F.col(key).isNotNull()).where(held(place(key)))
+
+
+def among(df: DataFrame, key: str, asked: DataFrame, most: int) -> DataFrame:
+    """df without most rows whose key isn't in ``asked``: a filter before a join."""
+    return asked_for(asked, most)(df, key)

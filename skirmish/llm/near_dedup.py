@@ -21,10 +21,11 @@ retains the first ``K`` of its set (its sketch), a random sample of the set, wha
    values below a common bound stand for large ones, with five standard deviations to spare).  The prefix takes values in
    the order of how many of these classes retain them, rarest first, so a passage that many share is in few keys.
 6. Candidates are filtered by the estimate from the union's sketch (with five standard deviations to spare) and confirmed
-   on the full sets; components of the confirmed links.
+   on the full sets; components of the confirmed links.  Documents are dealt to blocks of ``CELL_ROWS`` or ``CELL_BYTES``;
+   a pair is confirmed in the cell of its two blocks, to which each text is sent once, however many pairs it has there.
 
-Sketches and texts are joined for candidates only (``common.among``).  Hot keys: list sizes are counted with partial counts;
-lists are joined as skewed joins, which Spark splits; a pair's texts meet at its head in such a join too.
+Sketches and texts are joined for candidates only (``common.asked_for``).  Hot keys: list sizes are counted with partial
+counts; lists are joined as skewed joins, which Spark splits; a document of many pairs is in many cells, each of bounded size.
 
 Cases: null or empty texts have no shingles and no links; fewer words than a shingle make one shingle of all; a null id
 takes no part (component null); repeated rows are one document if their id is the same; an empty table gives no rows; other
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import NARROW, U, among, chunks, mapped, mix, signed, stored, table, text_bytes, words
+from skirmish.llm.common import NARROW, U, among, asked_for, chunks, mapped, mix, signed, stored, table, text_bytes, words
 from skirmish.llm.components import components
 
 K = 64
@@ -56,9 +57,12 @@ CHOICES = 170
 SAMPLE = 20
 #: Lists of a set, about, where lists are split.
 MADE = 500
+#: Documents, and bytes of text, of a block; two of them meet in a cell, in one worker's memory.
+CELL_ROWS = 1000
+CELL_BYTES = 2 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-SKETCH = "doc long, n long, s1 long, s2 long, sketch binary, keys array<long>"
+SKETCH = "doc long, n long, bytes long, s1 long, s2 long, sketch binary, keys array<long>"
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -112,28 +116,34 @@ def _keys_of(value: np.ndarray, chosen: np.ndarray, begin: int) -> np.ndarray:
     return key
 
 
+def shingle_hashes(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of groups of texts: bytes of each, the distinct hashes of its shingles in order, and where each text's begin (and end)."""
+    for a, b, data, offsets in chunks(texts):
+        _, _, h, before = words(FOLD[data], offsets)
+        count = np.diff(before)
+        shingles = np.maximum(count - size + 1, (count > 0).astype(np.int64))
+        first = np.repeat(before[:-1] - np.concatenate([[0], np.cumsum(shingles)[:-1]]), shingles) + np.arange(shingles.sum())
+        wide, value = np.repeat(np.minimum(count, size), shingles), np.full(len(first), U(0x51ED270B))
+        for j in range(size):
+            if len(h):
+                value = np.where(wide > j, _combined(value, h[np.minimum(first + j, len(h) - 1)]), value)
+        owner = np.repeat(np.arange(b - a), shingles)
+        order = np.lexsort((value, owner))
+        value, owner = value[order], owner[order]
+        fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])[: len(value)]
+        value, owner = value[fresh], owner[fresh]
+        yield np.diff(offsets) - 1, value, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b - a))])
+
+
 def sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int = 80) -> Iterator[pa.RecordBatch]:
     """(doc, text) to the set's size, a 128-bit name of the set, its sketch in order, and the keys of its lists."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for a, b, data, offsets in chunks(text_bytes(batch.column(1))):
-            _, _, h, before = words(FOLD[data], offsets)
-            count = np.diff(before)
-            shingles = np.maximum(count - size + 1, (count > 0).astype(np.int64))
-            first = np.repeat(before[:-1] - np.concatenate([[0], np.cumsum(shingles)[:-1]]), shingles) + np.arange(shingles.sum())
-            wide, value = np.repeat(np.minimum(count, size), shingles), np.full(len(first), U(0x51ED270B))
-            for j in range(size):
-                if len(h):
-                    value = np.where(wide > j, _combined(value, h[np.minimum(first + j, len(h) - 1)]), value)
-            owner = np.repeat(np.arange(b - a), shingles)
-            order = np.lexsort((value, owner))
-            value, owner = value[order], owner[order]
-            fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])[: len(value)]
-            value, owner = value[fresh], owner[fresh]
-            n = np.bincount(owner, minlength=b - a)
-            edge = np.concatenate([[0], np.cumsum(n)])
+        out: list[list] = [[], [], [], [], [], []]
+        for sizes, value, edge in shingle_hashes(text_bytes(batch.column(1)), size):
+            n = np.diff(edge)
+            owner = np.repeat(np.arange(len(n)), n)
             full, some = edge[:-1][n > 0], n > 0
-            s1, s2 = np.zeros(b - a, U), np.zeros(b - a, U)
+            s1, s2 = np.zeros(len(n), U), np.zeros(len(n), U)
             if len(full):
                 s1[some] = np.add.reduceat(mix(value ^ U(0xA0761D6478BD642F)), full)
                 s2[some] = np.add.reduceat(mix(value ^ U(0xE7037ED1A0B428DB)), full)
@@ -152,15 +162,16 @@ def sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int = 80) ->
                         owners.append(np.full(len(keys[-1]), i))
             keys, owners = np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(owners, kind="stable")
-            ends = np.cumsum(np.bincount(owners, minlength=b - a))
+            ends = np.cumsum(np.bincount(owners, minlength=len(n)))
             out[0].append(n)
-            out[1].append(signed(s1))
-            out[2].append(signed(s2))
+            out[1].append(sizes)
+            out[2].append(signed(s1))
+            out[3].append(signed(s2))
             held = lambda m: m if m * percent <= SHORT * 100 else K
-            out[3] += [value[x : min(x + held(y - x), y)].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            out[4] += np.split(signed(keys[order]), ends[:-1])
+            out[4] += [value[x : min(x + held(y - x), y)].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            out[5] += np.split(signed(keys[order]), ends[:-1])
         if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x), pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64()))], ["doc", "n", "s1", "s2", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x), pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary()), pa.array(out[5], pa.list_(pa.int64()))], ["doc", "n", "bytes", "s1", "s2", "sketch", "keys"])
 
 
 def estimate(x: bytes, y: bytes) -> float:
@@ -190,18 +201,50 @@ def shingle_set(text: bytes, size: int) -> frozenset:
     return frozenset(zip(*(w[j:] for j in range(size)), strict=False)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Of two sets of hashes in order."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
+    return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
+
+
+def _linked(x: bytes, y: bytes, size: int, percent: int) -> bool:
+    x, y = shingle_set(x, size), shingle_set(y, size)
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
+
+
 def _confirm(size: int, percent: int):  # noqa: ANN202
+    """(cell, a, b, text), of each cell first its texts (a is the id, b null) and then its pairs, to the pairs that are linked.
+
+    Sets of hashes tell which pairs to compare word by word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, frozenset()
+        cell, held = None, {}
         for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), text_bytes(batch.column("ta")), text_bytes(batch.column("tb")), strict=True):
-                if (a, x) != last:
-                    last, mine = (a, x), shingle_set(x, size)
-                other = shingle_set(y, size)
-                both = len(mine & other)
-                keep.append(100 * both >= percent * (len(mine) + len(other) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            cells = batch.column("cell").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            out: list[tuple[int, int]] = []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i == j:
+                    continue
+                if cells[i] != cell:
+                    cell, held = cells[i], {}
+                part = batch.slice(i, j - i)
+                m = part.column("b").null_count
+                texts, at = text_bytes(part.column("text").slice(0, m)), 0
+                ids = part.column("a").to_pylist()
+                for _, value, edge in shingle_hashes(texts, size):
+                    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                        held.setdefault(ids[at], {})[texts[at]] = value[x:y].copy()
+                        at += 1
+                for a, b in zip(ids[m:], part.column("b").slice(m).to_pylist(), strict=True):
+                    if any(_similar(x, y, percent) and _linked(t, u, size, percent) for t, x in held[a].items() for u, y in held[b].items()):
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -253,7 +296,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = stored(mapped(docs, lambda b: sketches(b, shingle, percent), SKETCH), "sketches")
     real = rows.where("n > 0 AND doc IS NOT NULL")
-    classes = stored(real.groupBy("s1", "s2").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("n", "sketch", "keys"))), "classes")
+    classes = stored(real.groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.max("bytes").alias("bytes"), *(F.first(c).alias(c) for c in ("n", "sketch", "keys"))), "classes")
     alike = percent / 100
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -267,10 +310,15 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
         """Of (a, b) those that are linked."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         pairs = stored(likely(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(alike).alias("least"))).select("a", "b"), "likely")
-        asked = among(docs, "doc", pairs.select("a").union(pairs.select("b")), 2 * pairs.count())
-        side = lambda s: asked.select(F.col("doc").alias(s), F.col("text").alias(f"t{s}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").sortWithinPartitions("a")
-        return stored(mapped(both.select("a", "b", "ta", "tb"), _confirm(shingle, percent), "a long, b long").distinct(), "confirmed")
+        asked = asked_for(pairs.select("a").union(pairs.select("b")), 2 * pairs.count())
+        count, size = asked(classes.select("doc", "bytes"), "doc").agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        blocks = max(1, -(-count // CELL_ROWS), -(-size // CELL_BYTES))
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+        dealt = pairs.select((F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))).alias("cell"), "a", "b")
+        places = dealt.select("cell", F.col("a").alias("doc")).union(dealt.select("cell", F.col("b").alias("doc"))).distinct()
+        texts = places.join(asked(docs, "doc"), "doc").select("cell", F.col("doc").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+        both = texts.union(dealt.withColumn("text", F.lit(None).cast("string"))).repartition("cell").sortWithinPartitions("cell", "b")
+        return stored(mapped(both, _confirm(shingle, percent), "a long, b long").distinct(), "confirmed")
 
     each = classes.select(F.explode("keys").alias("key"), "doc")
     heads = each.groupBy("key").agg(F.count("*").alias("many"), F.min("doc").alias("head")).where("many > 1").drop("many")
