@@ -14,12 +14,12 @@ retains the first ``K`` of its set (its sketch), a random sample of the set, wha
 3. Stars: in each list every class is paired with the smallest id, so a large group costs a few pairs per member.
 4. Lists over several components of the confirmed stars: pairs of stars, and of their members only where the triangle
    inequality of the Jaccard distance lets them be similar (0.4 between the heads, 0.6 from a member to the other head).
-5. Lists whose stars meet more than ``HOT`` stars of other components on average (four times as many after each split) aren't
-   paired; lists of the same stars are paired once.  Classes that lack other lists (``NEED``; of the prefix kind, any) meet in
-   lists whose key is as many values as give about ``MADE`` lists a set, and a list that is still too long is split by one
-   more retained value, and so on: with every value the prefix grows by one, so nothing is lost (sets of some 20 to 40
-   values below a common bound stand for large ones, with five standard deviations to spare).  The prefix takes values in
-   the order of how many of these classes retain them, rarest first, so a passage that many share is in few keys.
+5. Lists whose stars meet more than ``HOT`` stars of other components on average aren't paired; lists of the same stars are
+   paired once.  Classes that lack other lists (``NEED``; of the prefix kind, any) meet in lists of one value each, and a
+   list whose stars meet more than ``SPLIT`` (four times as many after each split) is split by one more retained value, and
+   so on: with every value the prefix grows by one, so nothing is lost (sets of some 20 to 40 values below a common bound
+   stand for large ones, with five standard deviations to spare).  The prefix takes values in the order of how many of these
+   classes retain them, rarest first, so a passage that many share is in few keys.
 6. Candidates are filtered by the estimate from the union's sketch (with five standard deviations to spare) and confirmed
    on the full sets; components of the confirmed links.  Documents are dealt to blocks of ``CELL_ROWS`` or ``CELL_BYTES``;
    a pair is confirmed in the cell of its two blocks, to which each text is sent once, however many pairs it has there.
@@ -49,17 +49,16 @@ from skirmish.llm.components import components
 K = 64
 BINS = 40
 SHORT = 64
-HOT = 128
+HOT = 32
+SPLIT = 256
 NEED = 15
 #: Lists of a short set, about.
 CHOICES = 170
 #: Values of a large set that stand for it where lists are split: so many over the power of two below its size.
 SAMPLE = 20
-#: Lists of a set, about, where lists are split.
-MADE = 500
 #: Documents, and bytes of text, of a block; two of them meet in a cell, in one worker's memory.
-CELL_ROWS = 1000
-CELL_BYTES = 2 << 20
+CELL_ROWS = 2000
+CELL_BYTES = 4 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SKETCH = "doc long, n long, bytes long, s1 long, s2 long, sketch binary, keys array<long>"
@@ -268,16 +267,15 @@ def _longer(percent: int):  # noqa: ANN202
                         least = max(0, int(np.ceil(percent / 100 * m - 5 * (percent / 100 * (1 - percent / 100) * m) ** 0.5)))
                     else:
                         mine, m, least = v, n, least_overlap(n, percent)
-                    sizes = [len(places) + 1] if path else [2] if scheme else _values_of_key(n, percent, MADE)
-                    for size in sizes:
-                        end = min(m - least + size, len(mine))
-                        if path:
-                            chosen = np.array([[*places, p] for p in range(places[-1] + 1, end)], np.uint8).reshape(-1, size)
-                        else:
-                            chosen = _choices(end, size)
-                        keys.append(_keys_of(mine, chosen, scheme))
-                        docs += [doc] * len(chosen)
-                        paths += [bytes([scheme]) + c.tobytes() for c in chosen]
+                    size = len(places) + 1
+                    end = min(m - least + size, len(mine))
+                    if path:
+                        chosen = np.array([[*places, p] for p in range(places[-1] + 1, end)], np.uint8).reshape(-1, size)
+                    else:
+                        chosen = _choices(end, size)
+                    keys.append(_keys_of(mine, chosen, scheme))
+                    docs += [doc] * len(chosen)
+                    paths += [bytes([scheme]) + c.tobytes() for c in chosen]
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(docs, pa.int64()), pa.array(paths, pa.binary())], ["key", "doc", "path"])
 
     return run
@@ -301,7 +299,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Of (a, b, x, y, least) those whose x and y can be as similar."""
-        pairs = stored(pairs, "pairs", NARROW)
+        for c in ("x", "y"):
+            pairs = pairs.join(classes.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}")), c)
+        pairs = stored(pairs.where("least(nx, ny) >= least * greatest(nx, ny) - 1e-9").drop("nx", "ny"), "pairs", NARROW)
         asked = among(classes.select("doc", "n", "sketch"), "doc", pairs.select("x").union(pairs.select("y")), 2 * pairs.count())
         side = lambda c, s: asked.select(F.col("doc").alias(c), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}"))
         return mapped(pairs.join(side("y", "b"), "y").join(side("x", "a"), "x"), _likely, "a long, b long, x long, y long, least double")
@@ -366,12 +366,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     ranked = values.join(often, "value").groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("many", "value"))), lambda x: x["value"]).alias("ranked"))
     left = stored(left.select("doc", "n").join(ranked, "doc"), "ranked")
     todo = left.withColumn("path", F.lit(b""))
-    most = HOT
+    most = SPLIT
     while not todo.isEmpty():
-        most *= 4  # a split makes some four times as many rows, so pairing may cost that much more
         longer = stored(mapped(todo, _longer(percent), "key long, doc long, path binary"), "longer")
         found, hot = crossed(longer.select("key", "doc"), most)
         candidates = candidates.union(found)
+        most *= 4  # a split makes some four times as many rows, so pairing may cost that much more
         todo = stored(longer.join(hot, "key").select("doc", "path").join(left, "doc").select("doc", "n", "ranked", "path"), "hot")
     links = first.union(confirmed(candidates))
     of = rows.join(classes.select("s1", "s2", F.col("doc").alias("class")), ["s1", "s2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
