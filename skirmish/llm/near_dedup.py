@@ -50,7 +50,7 @@ K = 64
 BINS = 40
 SHORT = 64
 HOT = 32
-SPLIT = 256
+SPLIT = 16
 NEED = 15
 #: Lists of a short set, about.
 CHOICES = 170
