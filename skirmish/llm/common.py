@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,8 +222,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 FILTER_BITS = 27
 
 
-def asked_for(asked: DataFrame, most: int) -> Callable[[DataFrame, str], DataFrame]:
-    """A filter of tables by a key (a long): it drops most rows whose key isn't in the one column of ``asked`` (``most`` rows).
+def asked_for(asked: DataFrame, most: int) -> tuple[Callable[[DataFrame, str], DataFrame], Broadcast]:
+    """A filter of tables by a key (a long): it drops most rows whose key isn't in the one column of ``asked`` (``most`` rows);
+    and what it holds on the driver and the executors, to be destroyed when the filter's tables have been stored.
 
     The filter is a bitmap of hashed ids of at most 2 ** FILTER_BITS bits, whatever the number of ids; beyond some tens of
     millions of ids it lets more and more other rows through, which the join that follows drops."""
@@ -239,9 +241,4 @@ def asked_for(asked: DataFrame, most: int) -> Callable[[DataFrame, str], DataFra
         table, at = np.frombuffer(shared.value, np.uint64), p.to_numpy(np.int64)
         return pd.Series((table[at >> 6] >> (at & 63).astype(U) & U(1)).astype(bool))
 
-    return lambda df, key: df.where(F.col(key).isNotNull()).where(held(place(key)))
-
-
-def among(df: DataFrame, key: str, asked: DataFrame, most: int) -> DataFrame:
-    """df without most rows whose key isn't in ``asked``: a filter before a join."""
-    return asked_for(asked, most)(df, key)
+    return lambda df, key: df.where(F.col(key).isNotNull()).where(held(place(key))), shared

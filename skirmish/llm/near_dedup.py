@@ -11,21 +11,23 @@ retains the first ``K`` of its set (its sketch), a random sample of the set, wha
    Sets of fewer than ``SHORT`` values use all choices of some of their first values instead: of so many first values that
    two sets of the similarity asked for have a choice in common for certain (prefix filter; larger sets up to the size that
    can be similar do so too), and as many values a choice as give at most ``CHOICES`` lists (two at least).
-3. Stars: in each list every class is paired with the smallest id, so a large group costs a few pairs per member.
-4. Lists over several components of the confirmed stars: pairs of stars, and of their members only where the triangle
-   inequality of the Jaccard distance lets them be similar (0.4 between the heads, 0.6 from a member to the other head).
-5. Lists whose stars meet more than ``HOT`` stars of other components on average aren't paired; lists of the same stars are
-   paired once.  Classes that lack other lists (``NEED``; of the prefix kind, any) meet in lists of one value each, and a
-   list whose stars meet more than ``SPLIT`` (four times as many after each split) is split by one more retained value, and
-   so on: with every value the prefix grows by one, so nothing is lost (sets of some 20 to 40 values below a common bound
-   stand for large ones, with five standard deviations to spare).  The prefix takes values in the order of how many of these
-   classes retain them, rarest first, so a passage that many share is in few keys.
-6. Candidates are filtered by the estimate from the union's sketch (with five standard deviations to spare) and confirmed
-   on the full sets; components of the confirmed links.  Documents are dealt to blocks of ``CELL_ROWS`` or ``CELL_BYTES``;
-   a pair is confirmed in the cell of its two blocks, to which each text is sent once, however many pairs it has there.
+3. In lists of up to ``HOT`` classes all are paired; in longer ones, each with the smallest id (stars), so a large group
+   costs a few pairs per member.
+4. Classes of long lists that hold several components of the confirmed links meet once more, by their full sets: a set's
+   values are ranked by how many of these classes have them, rarest first, and two similar sets share one of the first
+   few (prefix filter).  A list is one such value and two bands of sizes, so that the prefix is no longer than sizes of
+   these bands ask for; values that one component alone has take places in a prefix but make no lists.  All of this is
+   exact: no list is dropped and no link is lost.  Lists of up to ``SPLIT`` of other components on average are paired; the
+   sets of longer ones are sent to cells of two bounded blocks, where each is compared with those of other components, so
+   only links become rows.
+5. Candidates are filtered by sizes and by the estimate from the union's sketch (with five standard deviations to spare)
+   and confirmed on the full sets; components of the confirmed links.  Documents are dealt to blocks of ``CELL_ROWS`` or
+   ``CELL_BYTES``; a pair is confirmed in the cell of its two blocks, to which each text is sent once, however many pairs
+   it has there.
 
 Sketches and texts are joined for candidates only (``common.asked_for``).  Hot keys: list sizes are counted with partial
 counts; lists are joined as skewed joins, which Spark splits; a document of many pairs is in many cells, each of bounded size.
+The driver holds one filter of ids at a time and some twenty jobs' plans, whatever the input.
 
 Cases: null or empty texts have no shingles and no links; fewer words than a shingle make one shingle of all; a null id
 takes no part (component null); repeated rows are one document if their id is the same; an empty table gives no rows; other
@@ -33,6 +35,7 @@ columns, whatever their names, are not read.
 """
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import NARROW, U, among, asked_for, chunks, mapped, mix, signed, stored, table, text_bytes, words
+from skirmish.llm.common import NARROW, U, asked_for, chunks, mapped, mix, signed, stored, table, text_bytes, words
 from skirmish.llm.components import components
 
 K = 64
@@ -51,11 +54,12 @@ BINS = 40
 SHORT = 64
 HOT = 32
 SPLIT = 16
-NEED = 15
 #: Lists of a short set, about.
 CHOICES = 170
-#: Values of a large set that stand for it where lists are split: so many over the power of two below its size.
-SAMPLE = 20
+#: Smallest size of each band, some 5 % wide.
+BANDS = [1]
+while BANDS[-1] < 1 << 40:
+    BANDS.append(max(BANDS[-1] + 1, BANDS[-1] * 21 // 20))
 #: Documents, and bytes of text, of a block; two of them meet in a cell, in one worker's memory.
 CELL_ROWS = 2000
 CELL_BYTES = 4 << 20
@@ -186,13 +190,18 @@ def estimate(x: bytes, y: bytes) -> float:
     return float(np.count_nonzero(both[1:][twin] <= fresh[K - 1])) / K
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that can be as similar as their ``least`` by sizes and estimate."""
-    for batch in batches:
-        keep = []
-        for t, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("least", "na", "nb", "xa", "xb")), strict=True):
-            keep.append(min(n, m) >= t * max(n, m) - 1e-9 and estimate(x, y) >= t - 5 * (t * (1 - t) / K) ** 0.5)
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "x", "y", "least")], ["a", "b", "x", "y", "least"]).filter(pa.array(keep, pa.bool_()))
+def _likely(percent: int):  # noqa: ANN202
+    """Pairs that can be as similar by sizes and estimate."""
+    t = percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
+                keep.append(100 * min(n, m) >= percent * max(n, m) and estimate(x, y) >= t - 5 * (t * (1 - t) / K) ** 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def shingle_set(text: bytes, size: int) -> frozenset:
@@ -248,45 +257,101 @@ def _confirm(size: int, percent: int):  # noqa: ANN202
     return run
 
 
-def _longer(percent: int):  # noqa: ANN202
-    """(doc, n, ranked, path) to lists whose key has one more value: (key, doc, path).
+@lru_cache(4096)
+def _prefixes(n: int, percent: int) -> tuple[tuple[int, int], ...]:
+    """Of a set of n, for each band that similar sets can be in: a name of both bands, values that needn't be shared."""
+    least, most = least_overlap(n, percent), n * 100 // percent
+    own, out = bisect_right(BANDS, n) - 1, []
+    for band in range(bisect_right(BANDS, least) - 1, bisect_right(BANDS, most)):
+        overlap = -(-percent * (n + max(BANDS[band], least)) // (100 + percent))
+        out.append((min(own, band) << 16 | max(own, band), n - overlap))
+    return tuple(out)
+
 
-    A path is a scheme (0: the whole set; else the level of a sample of it) and places in its ranked values, ascending."""
+def _prefix_lists(percent: int):  # noqa: ANN202
+    """(doc, one, row, n, ranked) to (key, value, doc, one, row, n); of the set's n values, those not ranked come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys, paths = [], [np.empty(0, U)], []
-            for doc, n, path, ranked in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "path")), batch.column("ranked"), strict=True):
-                v = ranked.values.to_numpy().view(U)
-                schemes = [path[0]] if path else [0] * (n * percent <= SHORT * 100) + [int(x) for x in {*map(int, _levels(np.array(n), percent))} if n >= SHORT]
-                for scheme in schemes:
-                    places = path[1:] if path else b""
-                    if scheme:
-                        mine = v[v < U(min(SAMPLE << (64 - scheme), (1 << 64) - 1))]
-                        m = len(mine)
-                        least = max(0, int(np.ceil(percent / 100 * m - 5 * (percent / 100 * (1 - percent / 100) * m) ** 0.5)))
-                    else:
-                        mine, m, least = v, n, least_overlap(n, percent)
-                    size = len(places) + 1
-                    end = min(m - least + size, len(mine))
-                    if path:
-                        chosen = np.array([[*places, p] for p in range(places[-1] + 1, end)], np.uint8).reshape(-1, size)
-                    else:
-                        chosen = _choices(end, size)
-                    keys.append(_keys_of(mine, chosen, scheme))
-                    docs += [doc] * len(chosen)
-                    paths += [bytes([scheme]) + c.tobytes() for c in chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(docs, pa.int64()), pa.array(paths, pa.binary())], ["key", "doc", "path"])
+            keys, values, many = [np.empty(0, U)], [np.empty(0, U)], []
+            for n, ranked in zip(batch.column("n").to_pylist(), batch.column("ranked"), strict=True):
+                v, before = ranked.values.to_numpy().view(U), sum(map(len, keys))
+                for name, spare in _prefixes(n, percent):
+                    if (end := min(spare + 1 - (n - len(v)), len(v))) > 0:
+                        keys.append(_combined(np.full(end, U(name)), v[:end]))
+                        values.append(v[:end])
+                many.append(sum(map(len, keys)) - before)
+            others = [pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("doc", "one", "row", "n")]
+            yield pa.RecordBatch.from_arrays([*(pa.array(signed(np.concatenate(x))) for x in (keys, values)), *others], ["key", "value", "doc", "one", "row", "n"])
+
+    return run
+
+
+def linked_across(doc: np.ndarray, one: np.ndarray, second: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of one cell whose components differ and whose sets are similar; where some are of a second block, of two blocks only."""
+    order = np.argsort(second, kind="stable")
+    doc, one, sets, half = doc[order], one[order], [sets[i] for i in order], int(np.count_nonzero(~second))
+    n = np.array([len(x) for x in sets])
+    edge = np.concatenate([[0], np.cumsum(n)])
+    kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(kinds), np.int64)
+    names, count = np.unique(one, return_counts=True)
+    for i in np.flatnonzero(one != names[np.argmax(count)]).tolist():  # pairs of others than the largest component, with all
+        x, y = (0, len(doc)) if half in (0, len(doc)) else (half, len(doc)) if i < half else (0, half)
+        mine = ids[edge[i] : edge[i + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[ids[edge[x] : edge[y]]], edge[x:y] - edge[x])
+        mark[mine] = 0
+        for j in (x + np.flatnonzero((one[x:y] != one[i]) & (100 * both >= percent * (n[i] + n[x:y] - both)))).tolist():
+            yield int(min(doc[i], doc[j])), int(max(doc[i], doc[j]))
+
+
+def _across(percent: int):  # noqa: ANN202
+    """(key, lo, hi, second, doc, one, set), cell by cell, to the pairs (a, b) that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def made() -> pa.RecordBatch:
+            pairs = set()
+            if len(held) > 1:
+                doc, one, second = (np.array([h[k] for h in held], kind) for k, kind in enumerate((np.int64, np.int64, bool)))
+                pairs = set(linked_across(doc, one, second, [np.frombuffer(h[3], U) for h in held], percent))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for *here, second, doc, one, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != cell:
+                    yield made()
+                    cell, held = here, []
+                held.append((doc, one, second, values))
+        yield made()
+
+    return run
+
+
+def _sets(size: int):  # noqa: ANN202
+    """(doc, one, text) to (doc, one, row, n, set); ``row`` tells texts of one id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, n, sets = [], [], []
+            for _, value, edge in shingle_hashes(text_bytes(batch.column(2)), size):
+                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    row.append(int(signed(np.bitwise_xor.reduce(mix(value[x:y] ^ U(0xA0761D6478BD642F)), keepdims=True))[0]) if y > x else 0)
+                    n.append(y - x)
+                    sets.append(value[x:y].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(row, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["doc", "one", "row", "n", "set"])
 
     return run
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, sketch) to (doc, value)."""
+    """(doc, one, row, n, set) to one row per value of the set."""
     for batch in batches:
-        held = [np.frombuffer(x, np.int64) for x in batch.column("sketch").to_pylist()]
-        doc = np.repeat(batch.column("doc").to_numpy(), [len(x) for x in held])
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate([np.empty(0, np.int64), *held]))], ["doc", "value"])
+        n = batch.column("n").to_numpy()
+        value = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist())])
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("doc", "one", "row", "n")), pa.array(value)], ["doc", "one", "row", "n", "value"])
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -295,84 +360,76 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     rows = stored(mapped(docs, lambda b: sketches(b, shingle, percent), SKETCH), "sketches")
     real = rows.where("n > 0 AND doc IS NOT NULL")
     classes = stored(real.groupBy("s1", "s2").agg(F.min("doc").alias("doc"), F.max("bytes").alias("bytes"), *(F.first(c).alias(c) for c in ("n", "sketch", "keys"))), "classes")
-    alike = percent / 100
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Of (a, b, x, y, least) those whose x and y can be as similar."""
-        for c in ("x", "y"):
-            pairs = pairs.join(classes.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}")), c)
-        pairs = stored(pairs.where("least(nx, ny) >= least * greatest(nx, ny) - 1e-9").drop("nx", "ny"), "pairs", NARROW)
-        asked = among(classes.select("doc", "n", "sketch"), "doc", pairs.select("x").union(pairs.select("y")), 2 * pairs.count())
-        side = lambda c, s: asked.select(F.col("doc").alias(c), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}"))
-        return mapped(pairs.join(side("y", "b"), "y").join(side("x", "a"), "x"), _likely, "a long, b long, x long, y long, least double")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of (a, b) those that are linked."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        pairs = stored(likely(pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(alike).alias("least"))).select("a", "b"), "likely")
-        asked = asked_for(pairs.select("a").union(pairs.select("b")), 2 * pairs.count())
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs", NARROW)
+        asked, filter_ = asked_for(pairs.select("a").union(pairs.select("b")), 2 * pairs.count())
+        few = asked(classes.select("doc", "n", "sketch"), "doc")
+        side = lambda c: few.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"x{c}"))
+        pairs = stored(mapped(pairs.join(side("b"), "b").join(side("a"), "a"), _likely(percent), "a long, b long").distinct(), "likely", NARROW)
+        filter_.destroy()
+        asked, filter_ = asked_for(pairs.select("a").union(pairs.select("b")), 2 * pairs.count())
         count, size = asked(classes.select("doc", "bytes"), "doc").agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
         blocks = max(1, -(-count // CELL_ROWS), -(-size // CELL_BYTES))
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-        dealt = pairs.select((F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))).alias("cell"), "a", "b")
+        # a document goes with its smallest partner, so that most pairs of a group are in one cell; large groups have parts
+        group = pairs.union(pairs.select("a", "a")).toDF("m", "doc").groupBy("doc").agg(F.min("m").alias("m")).join(asked(classes.select("doc", "bytes"), "doc"), "doc")
+        parts = group.groupBy("m").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("bytes") / CELL_BYTES)).alias("parts"))
+        block = F.pmod(F.xxhash64("m", F.pmod(F.xxhash64("doc"), F.col("parts"))), F.lit(blocks))
+        placed = stored(group.join(parts, "m").select("doc", block.alias("block")).distinct(), "placed", NARROW)
+        for c in ("a", "b"):
+            pairs = pairs.join(placed.select(F.col("doc").alias(c), F.col("block").alias(f"b{c}")), c)
+        dealt = pairs.select((F.least("ba", "bb") * blocks + F.greatest("ba", "bb")).alias("cell"), "a", "b")
         places = dealt.select("cell", F.col("a").alias("doc")).union(dealt.select("cell", F.col("b").alias("doc"))).distinct()
         texts = places.join(asked(docs, "doc"), "doc").select("cell", F.col("doc").alias("a"), F.lit(None).cast("long").alias("b"), "text")
         both = texts.union(dealt.withColumn("text", F.lit(None).cast("string"))).repartition("cell").sortWithinPartitions("cell", "b")
-        return stored(mapped(both, _confirm(shingle, percent), "a long, b long").distinct(), "confirmed")
-
-    each = classes.select(F.explode("keys").alias("key"), "doc")
-    heads = each.groupBy("key").agg(F.count("*").alias("many"), F.min("doc").alias("head")).where("many > 1").drop("many")
+        out = stored(mapped(both, _confirm(shingle, percent), "a long, b long").distinct(), "confirmed")
+        filter_.destroy()
+        return out
+
+    def paired(lists: DataFrame, where: str) -> DataFrame:
+        """Pairs (a, b) of the lists (key, doc and another column)."""
+        other = next(c for c in lists.columns if c not in ("key", "doc"))
+        one, two = (lists.withColumnsRenamed({"doc": d, other: o}) for d, o in (("a", "oa"), ("b", "ob")))
+        return one.join(two, "key").where(f"a < b AND {where}").select("a", "b")
+
+    each = classes.select(F.explode("keys").alias("key"), "doc", "n")
+    heads = each.groupBy("key").agg(F.count("*").alias("many"), F.min("doc").alias("head")).where("many > 1")
     met = stored(each.join(heads, "key"), "lists")
-    first = confirmed(met.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")))
+    short = paired(met.where(F.col("many") <= HOT).select("key", "doc", "n"), f"100 * least(oa, ob) >= {percent} * greatest(oa, ob)")
+    first = confirmed(short.union(met.where((F.col("many") > HOT) & (F.col("doc") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc").alias("b"))))
+
     named = components(first).withColumnsRenamed({"node": "doc", "component": "one"})
-    star = first.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("star"))
-    stars = classes.select("doc").join(star, "doc", "left").join(named, "doc", "left").select("doc", F.coalesce("star", "doc").alias("star"), F.coalesce("one", "doc").alias("one"))
-    stars = stored(stars, "stars", NARROW)
-    large = stored(stars.where("star <> doc").select("star").distinct(), "large", NARROW)
-    members = stars.where("star <> doc").select("star", "doc").union(large.select("star", F.col("star").alias("doc")))
-
-    def crossed(lists: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-        """Candidates of the lists (key, doc) of several components, and the keys of those that are too long."""
-        of = stored(lists.join(stars, "doc").select("key", "star", "one").distinct(), "crossed", NARROW)
-        name = [F.bit_xor(F.xxhash64("star", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
-        apart = of.groupBy("key", "one").agg(F.count("*").alias("c"), *name)
-        apart = apart.groupBy("key").agg(F.sum("c").alias("many"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("ones"), *(F.bit_xor(h).alias(h) for h in ("h1", "h2")))
-        sizes = stored(apart.where("ones > 1").select("key", "many", ((F.col("many") * F.col("many") - F.col("own")) / F.col("many")).alias("across"), "h1", "h2"), "sizes", NARROW)
-        # lists of the same stars give the same pairs
-        short = of.join(sizes.where(F.col("across") <= most).groupBy("h1", "h2", "many").agg(F.min("key").alias("key")).select("key"), "key")
-        two = short.withColumnsRenamed({"star": "a", "one": "ca"}).join(short.withColumnsRenamed({"star": "b", "one": "cb"}), "key").where("a < b AND ca <> cb").select("a", "b").distinct()
-        marked = two
-        for s in ("a", "b"):
-            marked = marked.join(large.select(F.col("star").alias(s), F.lit(1).alias(f"m{s}")), s, "left")
-        marked = stored(marked.select("a", "b", (F.col("ma").isNotNull() | F.col("mb").isNotNull()).alias("some")), "starred", NARROW)
-        out = marked.where("NOT some").select("a", "b")
-        if not (some := marked.where("some").select("a", "b")).isEmpty():
-            near = stored(likely(some.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(max(0.0, 3 * alike - 2)).alias("least"))).select("a", "b"), "near")
-            close = []
-            for here, there in (("a", "b"), ("b", "a")):
-                of_star = near.join(members.withColumnsRenamed({"star": here, "doc": "m"}), here, "left").withColumn("m", F.coalesce("m", here))
-                far = of_star.select("a", "b", F.col("m").alias("x"), F.col(there).alias("y"), F.lit(max(0.0, 2 * alike - 1)).alias("least"))
-                close.append(likely(far).select("a", "b", F.col("x").alias("y" if here == "b" else "x")))
-            out = out.union(close[0].join(close[1], ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        return out, sizes.where(F.col("across") > most).select("key")
-
-    candidates, hot = crossed(met.select("key", "doc"), HOT)
-    bins = F.size(F.filter("keys", lambda x: x.bitwiseAND(F.lit(1)) == 0))
-    lacking = met.join(hot, "key").groupBy("doc").agg(F.sum(F.expr("1 - (key & 1)")).alias("bins"), F.sum(F.expr("key & 1")).alias("pairs"))
-    left = classes.select("doc", "n", "sketch", bins.alias("all")).join(lacking, "doc").where((F.col("pairs") > 0) | (F.col("bins") > 0) & (F.col("all") - F.col("bins") < NEED))
-    left = stored(left.select("doc", "n", "sketch"), "left")
-    values = mapped(left.select("doc", "sketch"), _values, "doc long, value long")
-    often = values.groupBy("value").agg(F.count("*").alias("many"))
-    ranked = values.join(often, "value").groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("many", "value"))), lambda x: x["value"]).alias("ranked"))
-    left = stored(left.select("doc", "n").join(ranked, "doc"), "ranked")
-    todo = left.withColumn("path", F.lit(b""))
-    most = SPLIT
-    while not todo.isEmpty():
-        longer = stored(mapped(todo, _longer(percent), "key long, doc long, path binary"), "longer")
-        found, hot = crossed(longer.select("key", "doc"), most)
-        candidates = candidates.union(found)
-        most *= 4  # a split makes some four times as many rows, so pairing may cost that much more
-        todo = stored(longer.join(hot, "key").select("doc", "path").join(left, "doc").select("doc", "n", "ranked", "path"), "hot")
+    long = met.where(F.col("many") > HOT).select("key", "doc").join(named, "doc", "left").select("key", "doc", F.coalesce("one", "doc").alias("one"))
+    apart = long.groupBy("key").agg(F.min("one").alias("x"), F.max("one").alias("y")).where("x < y").select("key")
+    left = stored(long.join(apart, "key").select("doc", "one").distinct(), "left", NARROW)
+    asked, filter_ = asked_for(left.select("doc"), left.count())
+    texts = asked(docs, "doc").join(left, "doc").select("doc", "one", "text")
+    sets = stored(mapped(texts, _sets(shingle), "doc long, one long, row long, n long, set binary").dropDuplicates(["doc", "row"]), "sets")
+    filter_.destroy()
+    values = mapped(sets, _values, "doc long, one long, row long, n long, value long")
+    # values that one component alone has needn't be ranked
+    often = values.groupBy("value").agg(F.count("*").alias("many"), F.min("one").alias("x"), F.max("one").alias("y")).where("x < y").select("value", "many")
+    ranked = values.join(often, "value").groupBy("doc", "one", "row", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("many", "value"))), lambda x: x["value"]).alias("ranked"))
+    of = stored(mapped(ranked, _prefix_lists(percent), "key long, value long, doc long, one long, row long, n long"), "prefixes")
+    name = [F.bit_xor(F.xxhash64("doc", "row", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    apart = of.groupBy("key", "one").agg(F.count("*").alias("c"), *name)
+    apart = apart.groupBy("key").agg(F.sum("c").alias("many"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("ones"), *(F.bit_xor(h).alias(h) for h in ("h1", "h2")))
+    # lists of the same sets give the same pairs
+    once = apart.where("ones > 1").groupBy("h1", "h2", "many", "own").agg(F.min("key").alias("key"))
+    across = (F.col("many") * F.col("many") - F.col("own")) / F.col("many")
+    sizes = stored(once.select("key", across.alias("across")), "sizes", NARROW)
+    few = paired(of.select("key", "doc", "one").join(sizes.where(F.col("across") <= SPLIT).select("key"), "key"), "oa <> ob")
+    # long lists of one value are one group, whatever the bands
+    hot = stored(of.join(sizes.where(F.col("across") > SPLIT).select("key"), "key").select("value", "doc", "one", "row", "n").distinct(), "hot", NARROW)
+    each = hot.groupBy("value").agg(F.count("*").alias("many"), F.sum("n").alias("all"), *name).groupBy("h1", "h2", "many").agg(F.min("value").alias("value"), F.max("all").alias("all"))
+    blocks = F.greatest(F.ceil(F.col("many") / CELL_ROWS), F.ceil(8 * F.col("all") / CELL_BYTES))
+    dealt = hot.join(each.select("value", blocks.alias("blocks")), "value").withColumnRenamed("value", "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("second"), "doc", "one", "row")
+    cells = dealt.join(sets.select("doc", "row", "set"), ["doc", "row"]).select("key", "lo", "hi", "second", "doc", "one", "set")
+    cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    candidates = few.union(mapped(cells, _across(percent), "a long, b long"))
     links = first.union(confirmed(candidates))
     of = rows.join(classes.select("s1", "s2", F.col("doc").alias("class")), ["s1", "s2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
     # ids on rows of different sets tie these sets together

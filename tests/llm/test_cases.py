@@ -245,6 +245,48 @@ def test_near_duplicates_of_many_kinds(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_near_duplicates_of_a_large_group_that_is_not_linked(spark, monkeypatch):
+    """A dense group and many documents just beyond the limit: right links, and no table of all their pairs."""
+    r = random.Random(23)
+    base, texts = [f"{r.randrange(10**6):x}" for _ in range(150)], []
+    for changes in [1] * 200 + [13] * 200 + [5] * 60:
+        w = base.copy()
+        for i in r.sample(range(150), changes):
+            w[i] = f"z{r.randrange(40)}"
+        texts.append(" ".join(w))
+    sets = [near_dedup.shingle_set(t.encode(), 2) for t in texts]
+    root = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((root[a], root[b]))
+            root = [x if k == y else k for k in root]
+    assert len(set(root)) > 20 and root.count(0) > 200
+    made, stored = [], near_dedup.stored
+
+    def counted(df, name, *more):
+        made.append((name, (out := stored(df, name, *more)).count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(df, shingle=2).collect()}
+    assert got == dict(enumerate(root))
+    assert max(n for name, n in made if name in ("pairs", "likely", "near")) < 40 * len(texts)
+
+
+def test_cells_link_what_brute_force_links():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 40, r.integers(1, 60))).astype(np.uint64) for _ in range(80)]
+    one, doc = r.integers(0, 9, 80), r.permutation(80)
+    for second in (np.zeros(80, bool), r.random(80) < 0.4):
+        want = set()
+        for i, j in itertools.combinations(range(80), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if one[i] != one[j] and (not second.any() or second[i] != second[j]) and 100 * both >= 60 * (len(sets[i]) + len(sets[j]) - both):
+                want.add((min(doc[i], doc[j]), max(doc[i], doc[j])))
+        assert set(near_dedup.linked_across(doc, one, second, sets, 60)) == want and len(want) > 9
+
+
 def test_empty_tables(spark, corpus):
     _, docs, labels = corpus
     none, pages = docs.limit(0), spark.createDataFrame([], "page_id long, url string, html string")
