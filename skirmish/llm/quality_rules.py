@@ -55,27 +55,47 @@ def repeated_words(w: Column) -> Column:
         step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"))
         return F.aggregate(F.sort_array(twice), start, step)["n"]
 
-    def over(s: Column) -> Column:
-        placed = F.sort_array(F.transform(s, lambda x, i: F.struct(x.alias("s"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(s)) == F.size(s), F.lit(0)).otherwise(let(placed, covered))
+    def over(w: Column, named: Column) -> Column:
+        # windows with different hashes differ, so most texts need no strings
+        three = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        places = F.filter(named, lambda x: x["again"])
+        return F.when(F.size(places) == 0, F.lit(0)).otherwise(let(F.sort_array(F.transform(places, lambda x: F.struct(three(x["i"]).alias("s"), x["i"].alias("i")))), covered))
+
+    def marked(h: Column) -> Column:
+        # places of windows whose hash is found twice: equal ones are neighbours
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        same = lambda p, i, j: F.coalesce(F.get(p, j)["h"] == F.get(p, i)["h"], F.lit(False))
+        twice = lambda p: F.transform(p, lambda x, i: F.struct(x["i"].alias("i"), (same(p, i, i - 1) | same(p, i, i + 1)).alias("again")))
+        none = F.array().cast("array<struct<i:int,again:boolean>>")
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(let(placed, twice))
 
     def windows(w: Column) -> Column:
-        three = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-        return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(F.transform(F.sequence(F.lit(0), F.size(w) - 3), three), over))
+        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(let(hashed, marked), lambda named: over(w, named)))
 
     return let(w, windows)
 
 
 def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\v\f\r", "")) > 0)
-    out = df.withColumns({
-        "n_words": F.size(words(F.col(text))).cast("long"),
-        "word_chars": F.length(F.translate(t, " \t\n\v\f\r", "")).cast("long"),
+    return _based(df, text).drop(WORDS)
+
+
+#: The column of a text's words, which are split once.
+WORDS = "__words"
+
+
+def _based(df: DataFrame, text: str) -> DataFrame:
+    """df with the base columns and ``WORDS``."""
+    t, w = F.coalesce(F.col(text), F.lit("")), F.col(WORDS)
+    full = lambda x: F.filter(x, lambda y: F.length(F.translate(y, " \t\n\v\f\r", "")) > 0)
+    repeated = lambda x: F.size(x) - F.size(F.array_distinct(x))
+    out = df.withColumn(WORDS, words(F.col(text))).withColumns({
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(words(F.col(text))).cast("long"),
+        "n_dup_lines": let(F.split(t, "\n", -1), lambda x: F.when(repeated(x) == 0, F.lit(0)).otherwise(let(full(x), repeated))).cast("long"),
+        "n_repeat_words": repeated_words(w).cast("long"),
     })
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -91,7 +111,7 @@ def grams(w: Column, buckets: int = BUCKETS) -> Column:
 def weights(df: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row, column ``w``: the log ratio of each bucket.  ``trusted`` has ids, of any number."""
     ids = trusted.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_t", F.lit(1))
-    marked = df.select(key, text).join(ids, key, "left")
+    marked = df.select(key, text).join(ids.hint("merge"), key, "left")  # as on large tables, whatever the size
     each = marked.select("_t", F.explode(grams(words(F.col(text)), buckets)).alias("b"))
     counts = each.groupBy("b").agg(F.count("*").alias("r"), F.count("_t").alias("t"))
     spark = df.sparkSession
@@ -107,10 +127,10 @@ def score(df: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc
     df = cleared(df, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"), text, key)
     ratios = weights(df, trusted, text, key).first()["w"]
     w = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal
-    based = base_columns(df, text)
-    total = F.aggregate(grams(words(F.col(text))), F.lit(0.0), lambda a, b: a + F.get(w, b))
+    based = _based(df, text)
+    total = F.aggregate(grams(F.col(WORDS)), F.lit(0.0), lambda a, b: a + F.get(w, b))
     out = based.withColumn("llr", F.when(F.col("n_words") > 0, F.round(total / (2 * F.col("n_words") - 1), 9)))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
+    return out.drop(WORDS).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,20 @@ def test_quality_target_counts_every_trusted_row(spark):
     assert np.allclose(w, want, rtol=0, atol=1e-12)
 
 
+def test_quality_rules_split_texts_once_and_join_alike_on_any_size(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcd") + r.choice("xy") * r.randrange(3) for _ in range(r.randrange(90))).replace("a", "a\n", r.randrange(4)) for _ in range(60)] + ["a b c a b c a b c", "x\n\n\nx\n \n \ny"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in quality_rules.base_columns(df).collect():
+        w, lines = texts[x["doc_id"]].split(), [t for t in texts[x["doc_id"]].split("\n") if t.split()]
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        covered = {i + j for i, t in enumerate(windows) if windows.count(t) > 1 for j in range(3)}
+        assert (x["n_words"], x["word_chars"], x["n_repeat_words"], x["n_dup_lines"]) == (len(w), len("".join(w)), len(covered), len(lines) - len(set(lines)))
+    plan = quality_rules.weights(df, df.where("doc_id < 5"))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert quality_rules.score(df, df).columns[-1] == "kept" and quality_rules.WORDS not in quality_rules.score(df, df).columns
+
+
 def test_nearest(spark):
     r = np.random.default_rng(0)
     x = r.standard_normal((300, 16)).astype("float32")
