@@ -32,72 +32,86 @@ TIERS = (512, 1024, 2048, WINDOW)
 POOL = 4096
 #: Tokens in a step group.
 STEP = 8 * WINDOW
-#: Most words that a worker remembers, as written and in lower case without marks.
-CACHE = 150_000
+#: Most words that a worker remembers, as written.
+CACHE = 200_000
+
+
+class Known(dict):
+    """Ids of words that a worker remembers, and, in ``fresh``, of those of the texts at hand that it doesn't."""
+
+    fresh: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.fresh[word]
 
 
 class Words:
     """Token ids of whole texts by a vocabulary that drops white space: a text's ids are those of its words in turn.
 
-    A word of Latin-1 letters and a tail of marks is further split into these two, as the vocabulary's own pattern does;
-    the letters are looked up in lower case.  Whatever is new goes to the tokenizer itself.
+    A word of Latin-1 letters and a tail of marks is further split into these two, as the vocabulary's own pattern does.
+    Lower case is all that the vocabulary's normalizer makes of such letters, so they go to its merges without normalizer
+    and pattern.  Whatever else is new goes to the tokenizer itself.
     """
 
-    simple = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!*$%&#|;:?]*)").fullmatch
+    marks = ".,!*$%&#|;:?"
+    letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = {i for s, i in self.tokenizer.get_vocab().items() if s.endswith("</w>")}
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _direct(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn_parts(self, new: list[str]) -> None:
-        """Each part is one run of letters or of marks, so its ids run up to the next word end."""
-        for i in range(0, len(new), 500):
-            some = new[i : i + 500]
-            runs: list[list[int]] = [[]]
-            for t in self._direct(" ".join(some)):
-                runs[-1].append(t)
-                if t in self.ends:
-                    runs.append([])
-            if len(runs) != len(some) + 1 or runs[-1]:
-                runs = [self._direct(x) for x in some]
-            for part, ids in zip(some, runs, strict=False):
-                self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        self.merges = Tokenizer(self.tokenizer.model)  # the same vocabulary in memory
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+        self.words = Known()
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _direct(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _merged(self, runs: list[str]) -> Iterator[bytes]:
+        """Ids of runs of lower-case letters; those of each run up to the next word end."""
+        for i in range(0, len(runs), 500):
+            some = runs[i : i + 500]
+            (got,) = self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            data, cut = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) != len(some) or cut[-1] != len(data):
+                yield from map(self._direct, some)
+            else:
+                yield from (data[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True))
 
     def _fresh(self, new: list[bytes]) -> dict[bytes, bytes]:
-        split, out = {}, {}
-        for w in new:
-            text = w.decode()
-            if m := self.simple(text):
-                split[w] = (m[1].lower(), m[2])
+        words, runs, ends, out = [], [], [], {}
+        for w, text in zip(new, b"\n".join(new).decode().split("\n"), strict=True):
+            stem = text.rstrip(self.marks)
+            if stem.isalpha() and (stem.isascii() or self.letters(stem)):
+                words.append(w)
+                runs.append(stem)
+                ends.append(text[len(stem) :])
             else:
-                ids = self._direct(text)
-                out[w] = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        self._learn_parts(list({p for pair in split.values() for p in pair if p and p not in self.parts}))
-        for w, (letters, marks) in split.items():
-            out[w] = self.parts[letters] + (self.parts[marks] if marks else b"")
+                out[w] = self._direct(text)
+        if len(self.tails) > CACHE:
+            self.tails = {"": b""}
+        for tail in set(ends).difference(self.tails):
+            self.tails[tail] = self._direct(tail)
+        tails = self.tails
+        out.update((w, ids + tails[tail]) for w, ids, tail in zip(words, self._merged(" ".join(runs).lower().split()), ends, strict=True))
         return out
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for i in range(0, len(texts), 256):
-            look = self.words.get
             split = [t.split() for t in texts[i : i + 256]]
-            found = [list(map(look, tokens)) for tokens in split]
-            if new := {w for tokens, got in zip(split, found, strict=True) if None in got for w, ids in zip(tokens, got, strict=True) if ids is None}:
-                extra = self._fresh(list(new))
-                if len(self.words) < CACHE:
-                    self.words.update(extra)
-            for tokens, got in zip(split, found, strict=True):
-                yield b"".join([extra[w] if x is None else x for w, x in zip(tokens, got, strict=True)] if None in got else got)
+            known = self.words
+            known.fresh = self._fresh([w for w in set().union(*split) if w not in known])
+            for tokens in split:
+                yield b"".join(map(known.__getitem__, tokens))
+            if len(known) < CACHE:
+                known.update(known.fresh)
 
 
 _tokenizers: dict[str, Words] = {}

@@ -82,6 +82,22 @@ def test_packing_of_literal_special_tokens():
     assert got[0] == [49407] and 49406 in got[1] and 49407 in got[2]
 
 
+def test_packing_gives_new_words_of_letters_to_the_merges(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    library, r = Tokenizer.from_file(path), random.Random(3)
+    word = lambda: "".join(r.choice("abcdeÀéïZÿß") for _ in range(r.randint(1, 12))) + r.choice(["", "", ".", ",!", "$$$", "?:"])
+    texts = [" ".join(word() for _ in range(200)) for _ in range(20)]
+    texts += ["K\u212a \u212bb \u0130i \u03a3\u03a3 e\u0301a x\u00a0y a'll 12 \u00aa.", "", " ", "a\x1cb.\u2028c"]
+    w, direct = packing.Words(path), []
+    ids = w._direct
+    monkeypatch.setattr(w, "_direct", lambda t: direct.append(t) or ids(t))
+    got = [np.frombuffer(x, "<u4").tolist() for x in w.encode([t.encode() for t in texts])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(direct) < 25 and max(map(len, direct)) < 20  # kinds of marks, and words that aren't letters and marks
+
+
 def test_substring_dedup(docs):
     rows, df = docs
     least = {}
