@@ -25,8 +25,9 @@ retains the first ``K`` of its set (its sketch), a random sample of the set, wha
    ``CELL_BYTES``; a pair is confirmed in the cell of its two blocks, to which each text is sent once, however many pairs
    it has there.
 
-Sketches and texts are joined for candidates only (``common.asked_for``).  Hot keys: list sizes are counted with partial
-counts; lists are joined as skewed joins, which Spark splits; a document of many pairs is in many cells, each of bounded size.
+Sketches and texts are joined for candidates only (``common.asked_for``).  Hot keys: a list's or value's rows (ids
+alone) are counted by a window, which spills, in one task; lists are joined as skewed joins, which Spark splits; a document of
+many pairs is in many cells, each of bounded size.
 The driver holds one filter of ids at a time and some twenty jobs' plans, whatever the input.
 
 Cases: null or empty texts have no shingles and no links; fewer words than a shingle make one shingle of all; a null id
@@ -43,7 +44,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skirmish.llm.common import NARROW, U, asked_for, chunks, mapped, mix, signed, stored, table, text_bytes, words
@@ -394,8 +395,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
         return one.join(two, "key").where(f"a < b AND {where}").select("a", "b")
 
     each = classes.select(F.explode("keys").alias("key"), "doc", "n")
-    heads = each.groupBy("key").agg(F.count("*").alias("many"), F.min("doc").alias("head")).where("many > 1")
-    met = stored(each.join(heads, "key"), "lists")
+    alike = Window.partitionBy("key")
+    met = stored(each.select("key", "doc", "n", F.count("*").over(alike).alias("many"), F.min("doc").over(alike).alias("head")).where("many > 1"), "lists")
     short = paired(met.where(F.col("many") <= HOT).select("key", "doc", "n"), f"100 * least(oa, ob) >= {percent} * greatest(oa, ob)")
     first = confirmed(short.union(met.where((F.col("many") > HOT) & (F.col("doc") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc").alias("b"))))
 
@@ -409,8 +410,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     filter_.destroy()
     values = mapped(sets, _values, "doc long, one long, row long, n long, value long")
     # values that one component alone has needn't be ranked
-    often = values.groupBy("value").agg(F.count("*").alias("many"), F.min("one").alias("x"), F.max("one").alias("y")).where("x < y").select("value", "many")
-    ranked = values.join(often, "value").groupBy("doc", "one", "row", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("many", "value"))), lambda x: x["value"]).alias("ranked"))
+    alike = Window.partitionBy("value")
+    often = values.select("*", F.count("*").over(alike).alias("many"), F.min("one").over(alike).alias("x"), F.max("one").over(alike).alias("y")).where("x < y")
+    ranked = often.groupBy("doc", "one", "row", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("many", "value"))), lambda x: x["value"]).alias("ranked"))
     of = stored(mapped(ranked, _prefix_lists(percent), "key long, value long, doc long, one long, row long, n long"), "prefixes")
     name = [F.bit_xor(F.xxhash64("doc", "row", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
     apart = of.groupBy("key", "one").agg(F.count("*").alias("c"), *name)

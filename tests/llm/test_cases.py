@@ -274,6 +274,18 @@ def test_near_duplicates_of_a_large_group_that_is_not_linked(spark, monkeypatch)
     assert max(n for name, n in made if name in ("pairs", "likely", "near")) < 40 * len(texts)
 
 
+def test_lists_and_values_are_dealt_once(spark, monkeypatch):
+    """Counting a list's classes, or a value's sets, takes one exchange of them and no join."""
+    store, plans = near_dedup.stored, {}
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name, *more: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and store(df, name, *more))
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abcdefgh") for _ in range(20))) for i in range(60)], "doc_id long, text string")
+    near_dedup.near_duplicates(docs, shingle=2).collect()
+    for name, by in (("lists", "key"), ("prefixes", "value")):
+        plan = plans[name].split("== Initial Plan ==")[0]
+        assert "Join" not in plan and plan.count(f"Exchange hashpartitioning({by}#") == 1
+
+
 def test_cells_link_what_brute_force_links():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 40, r.integers(1, 60))).astype(np.uint64) for _ in range(80)]
