@@ -95,11 +95,32 @@ def _rest() -> None:
         pass
 
 
-def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` in batches of bounded size by workers that give memory back when a task ends."""
+_remembered: dict = {}
+
+
+def remembered(mark: object, make: Callable[[], object]) -> object:
+    """What this worker made under the mark, until it makes something else or runs tasks that remember nothing."""
+    if mark not in _remembered:
+        _remembered.clear()
+        _remembered[mark] = make()
+    return _remembered[mark]
+
+
+def forget() -> None:
+    if _remembered:
+        _remembered.clear()
+        _rest()
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, remembers: bool = False) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size by workers that give memory back when a task ends.
+
+    Workers outlive a query: unless the work itself remembers something between tasks, it drops what others left."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            forget()
         try:
             yield from work(batches)
         finally:

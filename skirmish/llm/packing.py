@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import mapped, table, text_bytes
+from skirmish.llm.common import mapped, remembered, table, text_bytes
 
 WINDOW = 4096
 TIERS = (512, 1024, 2048, WINDOW)
@@ -85,6 +85,8 @@ class Words:
                 yield from (data[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True))
 
     def _fresh(self, new: list[bytes]) -> dict[bytes, bytes]:
+        if not new:
+            return {}
         words, runs, ends, out = [], [], [], {}
         for w, text in zip(new, b"\n".join(new).decode().split("\n"), strict=True):
             stem = text.rstrip(self.marks)
@@ -114,13 +116,8 @@ class Words:
                 known.update(known.fresh)
 
 
-_tokenizers: dict[str, Words] = {}
-
-
 def words_of(path: str) -> Words:
-    if path not in _tokenizers:
-        _tokenizers[path] = Words(path)
-    return _tokenizers[path]
+    return remembered(("packing", path), lambda: Words(path))
 
 
 class Packer:
@@ -218,7 +215,7 @@ def pack(df: DataFrame, path: str, end_id: int = 2, text: str = "text", key: str
             p.close()
             yield rows()
 
-    return mapped(kept, run, schema)
+    return mapped(kept, run, schema, remembers=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skirmish.llm import byte_bpe, html_extract, near_dedup, nearest, packing, quality_rules, substring_dedup, toxicity, warc
+from skirmish.llm import byte_bpe, common, html_extract, near_dedup, nearest, packing, quality_rules, substring_dedup, toxicity, warc
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -82,6 +82,27 @@ def test_packing_of_literal_special_tokens():
     assert got[0] == [49407] and 49406 in got[1] and 49407 in got[2]
 
 
+def test_workers_drop_the_words_of_packing(docs):
+    """A worker that packed and then does other work gives the vocabulary and the words back; packing again, it keeps them."""
+    path, (_, df) = tokenizers.path("word_bpe_49k.json"), docs
+
+    def held(batches):
+        for batch in batches:
+            from skirmish.llm import common
+
+            yield batch.from_pydict({"n": [len(common._remembered)] * batch.num_rows})
+
+    packing.pack(df, path).count()
+    assert {r["n"] for r in common.mapped(df.coalesce(1), held, "n long", remembers=True).collect()} <= {0, 1}
+    assert {r["n"] for r in common.mapped(df, held, "n long").collect()} == {0}
+    made = []
+    for _ in range(2):
+        common.remembered("a", lambda: made.append(1) or made)
+    assert made == [1] and common.remembered("b", list) == [] and list(common._remembered) == ["b"]
+    common.forget()
+    assert not common._remembered
+
+
 def test_packing_gives_new_words_of_letters_to_the_merges(monkeypatch):
     from tokenizers import Tokenizer
 
@@ -95,6 +116,7 @@ def test_packing_gives_new_words_of_letters_to_the_merges(monkeypatch):
     monkeypatch.setattr(w, "_direct", lambda t: direct.append(t) or ids(t))
     got = [np.frombuffer(x, "<u4").tolist() for x in w.encode([t.encode() for t in texts])]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [len(x) // 4 for x in w.encode([t.encode() for t in texts])] == [len(g) for g in got]  # nothing is new
     assert len(direct) < 25 and max(map(len, direct)) < 20  # kinds of marks, and words that aren't letters and marks
 
 
