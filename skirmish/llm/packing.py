@@ -13,6 +13,8 @@ columns are not read.  The result is the same for the same input splits.
 from __future__ import annotations
 
 import bisect
+import codecs
+import itertools
 import re
 import struct
 import zlib
@@ -24,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import mapped, remembered, table, text_bytes
+from skirmish.llm.byte_bpe import LETTERS
+from skirmish.llm.common import BLANK, CHUNK, chunks, mapped, remembered, table, text_bytes
 
 WINDOW = 4096
 TIERS = (512, 1024, 2048, WINDOW)
@@ -32,88 +35,123 @@ TIERS = (512, 1024, 2048, WINDOW)
 POOL = 4096
 #: Tokens in a step group.
 STEP = 8 * WINDOW
-#: Most words that a worker remembers, as written.
+#: Most parts of words that a worker remembers.
 CACHE = 200_000
 
-
-class Known(dict):
-    """Ids of words that a worker remembers, and, in ``fresh``, of those of the texts at hand that it doesn't."""
-
-    fresh: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.fresh[word]
+BLANKS, MARKS = b" \t\n\x0b\x0c\r", b".,!*$%&#|;:?"
+#: By byte: 0 white space, 1 ASCII letters, 2 marks, 3 all else.
+KINDS = bytes(0 if c in BLANKS else 2 if c in MARKS else 1 if bytes([c]).isalpha() else 3 for c in range(256))
+#: By 4 * the kind before + the kind of a byte: 1 starts a word, 2 starts a tail of marks, 4 is in no word of letters and a tail.
+STEPS = bytes((k % 4 > 0) * (k < 4) | 2 * (k == 6) | 4 * (k % 4 == 3 or k in (2, 9)) for k in range(16)).ljust(256, b"\0")
+LOWER = bytes(range(256)).lower()
+#: The vocabulary's character for each byte.
+ALPHABET = "".join(LETTERS)
 
 
 class Words:
-    """Token ids of whole texts by a vocabulary that drops white space: a text's ids are those of its words in turn.
+    """Token ids of whole texts by a vocabulary that drops white space: a text's ids are those of its parts in turn.
 
-    A word of Latin-1 letters and a tail of marks is further split into these two, as the vocabulary's own pattern does.
-    Lower case is all that the vocabulary's normalizer makes of such letters, so they go to its merges without normalizer
-    and pattern.  Whatever else is new goes to the tokenizer itself.
+    A word of Latin-1 letters and a tail of marks is two parts, as the vocabulary's own pattern makes of it: the letters in
+    lower case, which is all that its normalizer makes of them, and the tail.  Any other word is one part.  Arrow finds the
+    distinct parts and puts their ids together.  New ones of letters go to the merges of the tokenizer's model, as bytes in
+    the vocabulary's alphabet; whatever else is new goes to the tokenizer itself.
     """
 
-    marks = ".,!*$%&#|;:?"
-    letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+    letters = re.compile(b"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = Tokenizer(self.tokenizer.model)  # the same vocabulary in memory
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
-        self.words = Known()
-        self.tails: dict[str, bytes] = {"": b""}
+        self.merges = self.tokenizer.model
+        if hasattr(self.merges, "_resize_cache"):
+            self.merges._resize_cache(0)  # no part is asked for twice while it is remembered here
+        self.known: dict[bytes, bytes] = {}
 
     def _direct(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _merged(self, runs: list[str]) -> Iterator[bytes]:
-        """Ids of runs of lower-case letters; those of each run up to the next word end."""
-        for i in range(0, len(runs), 500):
-            some = runs[i : i + 500]
-            (got,) = self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            data, cut = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cut) != len(some) or cut[-1] != len(data):
-                yield from map(self._direct, some)
-            else:
-                yield from (data[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True))
-
-    def _fresh(self, new: list[bytes]) -> dict[bytes, bytes]:
-        if not new:
-            return {}
-        words, runs, ends, out = [], [], [], {}
-        for w, text in zip(new, b"\n".join(new).decode().split("\n"), strict=True):
-            stem = text.rstrip(self.marks)
-            if stem.isalpha() and (stem.isascii() or self.letters(stem)):
-                words.append(w)
-                runs.append(stem)
-                ends.append(text[len(stem) :])
-            else:
-                out[w] = self._direct(text)
-        if len(self.tails) > CACHE:
-            self.tails = {"": b""}
-        for tail in set(ends).difference(self.tails):
-            self.tails[tail] = self._direct(tail)
-        tails = self.tails
-        out.update((w, ids + tails[tail]) for w, ids, tail in zip(words, self._merged(" ".join(runs).lower().split()), ends, strict=True))
-        return out
+    def _merged(self, runs: list[bytes]) -> Iterator[bytes]:
+        """Ids of each run of lower-case letters."""
+        merge = self.merges.tokenize
+        for run in codecs.charmap_decode(b"\n".join(runs), "strict", ALPHABET)[0].split(ALPHABET[10]):
+            ids = [t.id for t in merge(run)]
+            yield struct.pack(f"<{len(ids)}I", *ids)
+
+    def _fresh(self, new: list[bytes]) -> list[bytes]:
+        of_letters = [w.isalpha() or self.letters(w) for w in new]
+        merged = self._merged([w for w, plain in zip(new, of_letters, strict=True) if plain])
+        return [next(merged) if plain else self._direct(w.decode()) for w, plain in zip(new, of_letters, strict=True)]
+
+    def _looked_up(self, parts: list[bytes]) -> list[bytes]:
+        got = list(map(self.known.get, parts))
+        if new := [w for w, ids in zip(parts, got, strict=True) if ids is None]:
+            fresh = self._fresh(new)
+            if len(self.known) < CACHE:
+                self.known.update(zip(new, fresh, strict=True))
+            rest = iter(fresh)
+            got = [next(rest) if ids is None else ids for ids in got]
+        return got
+
+    def _ids(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, memoryview]:
+        """Where parts start in bytes that end with white space, where the ids of each start and the last end, and all ids."""
+        starts, offsets, kept = parts_of(data)
+        if not len(starts):
+            return starts, offsets, memoryview(b"")
+        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+        ids = pa.array(self._looked_up(found.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(found.indices)
+        _, ends, values = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(starts) + 1]
+        return starts, ends, memoryview(values or b"")[: ends[-1]]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for i in range(0, len(texts), 256):
-            split = [t.split() for t in texts[i : i + 256]]
-            known = self.words
-            known.fresh = self._fresh([w for w in set().union(*split) if w not in known])
-            for tokens in split:
-                yield b"".join(map(known.__getitem__, tokens))
-            if len(known) < CACHE:
-                known.update(known.fresh)
+        for first, last, data, offsets in chunks(texts):
+            if last - first == 1:
+                yield b"".join(self._ids(some)[2] for some in segments(data))
+            else:
+                starts, ends, ids = self._ids(data)
+                at = ends[np.searchsorted(starts, offsets)].tolist()
+                yield from (bytes(ids[a:b]) for a, b in itertools.pairwise(at))
+
+
+def segments(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Pieces of some ``CHUNK`` bytes that end with white space, as the bytes do."""
+    at = 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        while not BLANK[data[end - 1]]:
+            gap = np.flatnonzero(BLANK[data[end : end + CHUNK]])
+            end += int(gap[0]) + 1 if len(gap) else CHUNK
+        yield data[at:end]
+        at = end
+
+
+def parts_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Where parts of words start in bytes that end with white space, and these parts: offsets and bytes."""
+    raw = data.tobytes()
+    kinds, low = (np.frombuffer(bytearray(raw.translate(by)), np.uint8) for by in (KINDS, LOWER))
+    lead = np.flatnonzero(data == 0xC3)  # Latin-1 letters beyond ASCII, if neither sign of arithmetic follows
+    second = data[lead + 1]
+    letter = (second >= 0x80) & (second != 0x97) & (second != 0xB7)
+    lead, second = lead[letter], second[letter]
+    kinds[lead] = kinds[lead + 1] = 1
+    low[lead[second < 0x9F] + 1] += 0x20
+    pairs = kinds.copy()
+    pairs[1:] |= kinds[:-1] << 2
+    steps = np.frombuffer(bytearray(pairs.tobytes().translate(STEPS)), np.uint8)
+    if len(other := np.flatnonzero(steps & 4)):
+        words = np.flatnonzero(steps & 1)
+        whole = np.zeros(len(words), bool)
+        whole[np.searchsorted(words, other, "right") - 1] = True
+        inside = np.concatenate([np.zeros(words[0], bool), np.repeat(whole, np.diff(words, append=len(data)))])
+        np.bitwise_and(steps, 1, out=steps, where=inside)
+        np.copyto(low, data, where=inside)
+    starts = np.flatnonzero(steps & 3)
+    before = np.cumsum(kinds != 0, dtype=np.int32)
+    offsets = np.append(before[starts] - np.int32(1), before[-1:])
+    return starts, offsets, low.tobytes().translate(None, BLANKS)
 
 
 def words_of(path: str) -> Words:

@@ -120,6 +120,38 @@ def test_packing_gives_new_words_of_letters_to_the_merges(monkeypatch):
     assert len(direct) < 25 and max(map(len, direct)) < 20  # kinds of marks, and words that aren't letters and marks
 
 
+def test_packing_merges_letters_once_in_any_case_and_with_any_tail(monkeypatch):
+    path = tokenizers.path("word_bpe_49k.json")
+    w, merged = packing.Words(path), []
+    merge = w._merged
+    monkeypatch.setattr(w, "_merged", lambda runs: merged.extend(runs) or merge(runs))
+    texts = ["Über über, ÜBER!! den\tDEN. den, x-y X-Y", "den über,", "", "  "] * 50
+    got = [np.frombuffer(x, "<u4").tolist() for x in w.encode([t.encode() for t in texts])]
+    assert got == [w.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(merged) == 2  # über, den
+
+
+def test_packing_of_any_characters_in_any_segments(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    library, r = Tokenizer.from_file(path), random.Random(5)
+    some = "aZéÀ×÷ßÿÞ.,!?'s-12<|> \t\n\r\x0b\x0c\x00\x1c\x85\u00a0\u2028\u0301\u0338\u0130\u03a3ªµ\u212a漢д\U0001f600"
+    texts = ["".join(r.choices(some, k=r.randint(0, 60))) for _ in range(1500)]
+    texts += ["Ab.é " * 700, "é" * 900, "a" * 900 + "1", "." * 900, " " * 900, "x" * 511 + " y", "x" * 512 + " y", "漢" * 300 + "  " + "Bé, " * 300, "", "<|endoftext|>"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    raw = [t.encode() for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Words(path).encode(raw)] == want
+    monkeypatch.setattr(packing, "CHUNK", 256)  # texts longer than this go in several segments
+    monkeypatch.setattr(packing, "chunks", lambda texts: common.chunks(texts, 256))
+    w = packing.Words(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(raw)] == want
+    segments = list(packing.segments(common.packed([b"ab " * 200 + b"c" * 2000 + b" d"])[0]))
+    assert len(segments) == 4 and all(x[-1] == 0x20 for x in segments) and max(map(len, segments)) > 2000
+    monkeypatch.setattr(packing, "CACHE", 0)  # nothing is remembered
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Words(path).encode(raw[::-1])] == want[::-1]
+
+
 def test_substring_dedup(docs):
     rows, df = docs
     least = {}
