@@ -80,7 +80,7 @@ def assess_dataset_fit(matches: DataFrame, participants: DataFrame, appearances:
         checks.append(Check("appearance_match_coverage", PASS if covered >= 0.8 else WARN, text, covered))
         metrics |= {"invalid_appearances": bad, "appearance_coverage": covered}
     if n:
-        resolved = cut(resolve.resolve(resolve.weighted_matches(resolvable, 0.0, 0.0, 0), participants, used))
+        resolved = resolve.resolve(resolve.weighted_matches(resolvable, 0.0, 0.0, 0), participants, used, keep=True)
         report = connectivity.analyze(connectivity.components(graph.pair_edges(resolved)), graph.entity_metrics(resolved))
         apart = report.disconnected_share
         status = FAIL if not report.component_count else PASS if report.component_count == 1 else WARN if apart <= 0.005 else FAIL
