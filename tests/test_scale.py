@@ -4,8 +4,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from skirmish.config import DecayConfig, TickTockConfig
 from skirmish.operators import blocks, resolve
 from skirmish.operators.pagerank import by_arrays, by_blocks, by_joins, pagerank
+from skirmish.plans import engines
 from skirmish.sources.tables import competition
 
 MATCH = "event_id long, match_id long, winner_id long, loser_id long, completed_at double"
@@ -73,3 +75,26 @@ def test_rosters_are_read_only_where_appearances_lack(spark):
     assert whole.count() == 3
     with pytest.raises(ValueError, match="Could not infer group_id"):
         resolve.resolve(weighted, rosters, spark.createDataFrame([*some, (1, 2, None, 9)], SEEN))
+
+
+@pytest.mark.parametrize("name", ["rosters", "appearances", "log-odds", "rows"])
+def test_engines_make_no_pairs_of_large_graphs(spark, monkeypatch, name):
+    """Many pairs give what few give, and no pair edges are made of rosters."""
+    rng = np.random.default_rng(2)
+    rosters = [(e, g, int(i)) for e in (1, 2, 3) for g in range(8) for i in rng.choice(30, 4, replace=False)] + [(1, 9, 40), (1, 0, None)]
+    games = [(int(e), k, int(a), int(b), float(rng.integers(0, 9)) * 86400) for k, (e, (a, b)) in enumerate(zip(rng.integers(1, 4, 40), (rng.choice(8, 2, replace=False) for _ in range(40)), strict=True))]
+    seen = [(e, k, g, i) for e, k, a, b, _ in games for g in (a, b) for e2, g2, i in rosters if (e2, g2) == (e, g) and i is not None and i % 3]
+    decay, config = DecayConfig(5.0), TickTockConfig(decay=DecayConfig(5.0), max_ticks=3)
+    matches, members = spark.createDataFrame(games, MATCH), spark.createDataFrame(rosters, "event_id long, group_id long, entity_id long")
+    backend = {"log-odds": engines.LogOddsBackend, "rows": engines.RowPageRankBackend}.get(name)
+    engine = lambda: engines.TTLEngine(config, backend(decay=decay), 9e5) if backend else engines.TickTockEngine(config, 9e5)
+    more = (spark.createDataFrame(seen, SEEN),) if name == "appearances" else ()
+    rank = lambda: engine().rank_entities(matches, members, *more).toPandas().sort_values("entity_id").reset_index(drop=True)
+    want = rank()
+    monkeypatch.setattr(engines, "ARRAY_EDGES", 10)
+    if name != "appearances":
+        monkeypatch.setattr(engines.graph, "pairs", None)
+    got = rank()
+    assert set(got["entity_id"]) == set(want["entity_id"])
+    for c in set(want.columns) - {"entity_id", "active"}:
+        assert np.abs(got[c] - want[c]).max() < 1e-10
