@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skirmish.config import DecayConfig, TickTockConfig
 from skirmish.operators import blocks, resolve
 from skirmish.operators.pagerank import by_arrays, by_blocks, by_joins, pagerank
-from skirmish.plans import engines
+from skirmish.plans import engines, loo
 from skirmish.sources.tables import competition
 
 MATCH = "event_id long, match_id long, winner_id long, loser_id long, completed_at double"
@@ -98,3 +98,26 @@ def test_engines_make_no_pairs_of_large_graphs(spark, monkeypatch, name):
     assert set(got["entity_id"]) == set(want["entity_id"])
     for c in set(want.columns) - {"entity_id", "active"}:
         assert np.abs(got[c] - want[c]).max() < 1e-10
+
+
+def test_leaving_out_is_a_product_less_a_match(monkeypatch):
+    """Against dense matrices, with a column that the match empties and one that was empty."""
+    monkeypatch.setattr(loo, "SLICE", 3)
+    winner, loser, share = np.array([0, 0, 1, 2, 3, 1]), np.array([1, 2, 2, 3, 1, 4]), np.array([0.5, 0.25, 1.0, 0.75, 0.5, 0.3])
+    rho, alpha, n = np.array([0.3, 0.25, 0.2, 0.1, 0.1, 0.05]), 0.85, 6
+
+    def dense(src, dst, w, t, fill):
+        a = np.zeros((n, n))
+        np.add.at(a, (dst, src), w)
+        sums = a.sum(0)
+        return np.column_stack([a[:, j] / sums[j] if sums[j] > 1e-12 else fill(j) for j in range(n)])
+
+    ends = {"win": (loser, winner), "loss": (winner, loser)}
+    solve = lambda a, t: np.linalg.solve(np.eye(n) - alpha * a, (1 - alpha) * t)
+    ranks = {g: solve(dense(*e, share, rho, lambda j: rho), rho) for g, e in ends.items()}
+    graphs = loo.Graphs(np.arange(n), rho, ranks, winner, loser, share, 6.6, alpha, 0.1)
+    win, loss, new = graphs.without(np.array([1]), np.array([4]), 0.3, 0)
+    had = {g: np.bincount(e[0], share, n) > 0 for g, e in ends.items()}
+    for g, got in (("win", win), ("loss", loss)):
+        want = solve(dense(*ends[g], share - np.array([0, 0, 0, 0, 0, 0.3]), new, lambda j, g=g: new if had[g][j] else rho), new)
+        assert np.abs(got - want).max() < 1e-11
