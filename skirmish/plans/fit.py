@@ -47,12 +47,13 @@ def side_coverage(matches: DataFrame, appearances: DataFrame) -> float:
 
 def assess_dataset_fit(matches: DataFrame, participants: DataFrame, appearances: DataFrame | None = None) -> FitReport:
     matches, participants, appearances = prepared(matches, participants, appearances)
-    played = cut(resolve.competitive(matches))
+    matches, participants = cut(matches), cut(participants)  # read many times below
+    played = resolve.competitive(matches)
     sizes = resolve.rosters(participants).agg(F.count("*").alias("n"), F.max("size").alias("most"), F.avg("size").alias("mean")).first()
     twice = resolve.several_groups(participants)
     n, several = played.count(), twice.count()
     checks = [Check("competitive_matches", PASS if n else FAIL, f"{n} matches with two sides", float(n))]
-    known = participants.select("event_id", "group_id").distinct()
+    known = cut(participants.select("event_id", "group_id").distinct())
     missing = sides(played).join(known, ["event_id", "group_id"], "left_anti")
     resolvable = played
     for side in ("winner_id", "loser_id"):
@@ -71,10 +72,11 @@ def assess_dataset_fit(matches: DataFrame, participants: DataFrame, appearances:
         if inferred:
             least = participants.groupBy("event_id", "entity_id").agg(F.min("group_id").alias("group_id"))
             used = appearances.join(least, ["event_id", "entity_id"], "left")
-        members = resolve.membership(used, participants)
-        bad = members.invalid.count()
+        used = cut(used)
+        valid = cut(resolve.membership(used, participants).valid)
+        bad = used.count() - valid.count()
         checks.append(Check("appearance_participant_membership", FAIL if bad else PASS, f"{bad} appearances aren't on a roster", float(bad)))
-        used = members.valid
+        used = valid
         covered = side_coverage(played, used)
         text = "most sides have appearances" if covered >= 0.8 else "many sides fall back on rosters" if covered >= 0.5 else "most sides fall back on rosters"
         checks.append(Check("appearance_match_coverage", PASS if covered >= 0.8 else WARN, text, covered))
